@@ -1,0 +1,25 @@
+"""Queries pN_... of the training-data operators, each over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .tokenizer import encode_corpus
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(_table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p6_ids": p6_ids}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
