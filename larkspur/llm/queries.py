@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .frequency import count_terms, mark_terms
+from .repeated_lines import repeated_lines, without_repeated_lines
 from .tokenizer import encode_corpus
 
 
@@ -13,13 +15,71 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(_table(spark, sf_dir, "snapshot_documents"))
+
+
+def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(_table(spark, sf_dir, "snapshot_documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_terms(_table(spark, sf_dir, "snapshot_documents"))
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_terms(_table(spark, sf_dir, "snapshot_documents")).drop("term_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {
+        "p2_found": p2_found,
+        "p2_cleaned": p2_cleaned,
+        "p3_found": p3_found,
+        "p3_counts": p3_counts,
+        "p6_ids": p6_ids,
+    }
+
+
+_ONCE = "SELECT id, any_value(url) AS url, any_value(content) AS content, any_value(tokens) AS tokens FROM snapshot_documents GROUP BY id"
+
+#: The characters with the Unicode property White_Space but the line feed, as a class of the regular expressions.
+_BLANKS = r"[\t\x{0B}\x{0C}\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+_LINES = rf"""
+once AS ({_ONCE}),
+sites AS (
+  SELECT id, content, regexp_replace(regexp_extract(lower(trim(url)), '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '') AS site
+  FROM once WHERE content IS NOT NULL),
+split AS (SELECT id, site, string_split(content, chr(10)) AS ls FROM sites WHERE site <> ''),
+lines AS (
+  SELECT id, site, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM split),
+folded AS (
+  SELECT id, site, line_no, lower(trim(regexp_replace(line, '{_BLANKS}+', ' ', 'g'))) AS line FROM lines),
+hot AS (
+  SELECT site, line FROM folded WHERE line <> '' GROUP BY site, line HAVING count(DISTINCT id) >= 8),
+found AS (SELECT id, CAST(line_no AS INTEGER) AS line_no FROM folded JOIN hot USING (site, line))"""
+
+_TERMS = f"""
+once AS ({_ONCE}),
+t AS (SELECT id, unnest(tokens) AS term FROM once),
+c AS (SELECT term, count(*) AS occurrences, count(DISTINCT id) AS records FROM t WHERE term IS NOT NULL AND term <> '' GROUP BY term)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"WITH {_LINES} SELECT id, line_no FROM found",
+        "p2_cleaned": f"""WITH {_LINES},
+cut AS (SELECT id, list(line_no) AS cut FROM found GROUP BY id)
+SELECT once.id AS id, CASE WHEN cut.cut IS NULL THEN once.content ELSE
+  array_to_string(list_filter(string_split(once.content, chr(10)), lambda x, i: NOT list_contains(cut.cut, i)), chr(10)) END AS content
+FROM once LEFT JOIN cut ON once.id = cut.id""",
+        "p3_found": f"""WITH {_TERMS}
+SELECT term, CASE WHEN records <= 2 THEN 'rare' ELSE 'common' END AS mark FROM c
+WHERE records <= 2 OR records > 0.2 * (SELECT count(*) FROM once)""",
+        "p3_counts": f"WITH {_TERMS} SELECT term, occurrences, records FROM c",
+    }
