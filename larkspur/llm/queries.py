@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .frequency import count_terms, mark_terms
+from .main_body import main_body, not_main_body
 from .repeated_lines import repeated_lines, without_repeated_lines
 from .tokenizer import encode_corpus
 
@@ -31,6 +32,14 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_terms(_table(spark, sf_dir, "snapshot_documents")).drop("term_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_main_body(_table(spark, sf_dir, "snapshot_documents"))
+
+
+def p4_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body(_table(spark, sf_dir, "snapshot_documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_cleaned": p2_cleaned,
         "p3_found": p3_found,
         "p3_counts": p3_counts,
+        "p4_found": p4_found,
+        "p4_body": p4_body,
         "p6_ids": p6_ids,
     }
 
