@@ -10,6 +10,7 @@ from .frequency import count_terms, mark_terms
 from .main_body import main_body, not_main_body
 from .repeated_lines import repeated_lines, without_repeated_lines
 from .tokenizer import encode_corpus
+from .visual_form import canonical_text, lookalike_pairs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(_table(spark, sf_dir, "documents"))
+
+
+def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -53,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_body": p4_body,
         "p6_ids": p6_ids,
+        "p8_found": p8_found,
+        "p8_canonical": p8_canonical,
     }
 
 
