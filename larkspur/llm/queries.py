@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .frequency import count_terms, mark_terms
 from .main_body import main_body, not_main_body
+from .packing import pack
 from .repeated_lines import repeated_lines, without_repeated_lines
 from .tokenizer import encode_corpus
 from .visual_form import canonical_text, lookalike_pairs
@@ -45,6 +46,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_body": p4_body,
         "p6_ids": p6_ids,
+        "p7_containers": p7_containers,
         "p8_found": p8_found,
         "p8_canonical": p8_canonical,
     }
