@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .frequency import count_terms, mark_terms
 from .main_body import main_body, not_main_body
+from .near_duplicates import near_duplicate_pairs
 from .packing import pack
 from .repeated_lines import repeated_lines, without_repeated_lines
 from .tokenizer import encode_corpus
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_pairs(_table(spark, sf_dir, "snapshot_documents"), threshold=0.5, width=3)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(_table(spark, sf_dir, "snapshot_documents"))
 
@@ -60,6 +65,7 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_cleaned": p2_cleaned,
         "p3_found": p3_found,
