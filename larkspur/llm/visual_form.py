@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import cut
 
 #: Letters of other scripts and their Latin look-alikes.
 CYRILLIC_SHAPES = {
@@ -234,7 +235,7 @@ def approved_repairs(docs: DataFrame, key: str, text: str) -> DataFrame:
                     ["k", "h", "word"],
                 )
 
-    seen = src.mapInArrow(scan, f"k {kind}, h long, word boolean")
+    seen = cut(src.mapInArrow(scan, f"k {kind}, h long, word boolean"))  # one scan; words are distinct by block
     words = seen.where("word").select("h").distinct()
     wanted = seen.where("not word").select("k", "h").distinct()
     return wanted.join(words, "h", "left_semi").groupBy("k").agg(F.collect_list("h").alias("approved"))
@@ -302,7 +303,7 @@ def visual_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_a, doc_b): every two documents whose texts differ but look the same, the smaller key first."""
-    keys = visual_keys(docs, key, text).where("k is not null")
+    keys = cut(visual_keys(docs, key, text).where("k is not null"))
     look, raw = ["look_a", "look_b"], ["raw_a", "raw_b"]
     variants = keys.groupBy(*look, *raw).agg(F.count(F.lit(1)).alias("n"))
     several = variants.groupBy(*look).agg(F.count(F.lit(1)).alias("v")).where("v > 1").select(*look)
