@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .frequency import count_terms, mark_terms
+from .history import rows_without_new_content
 from .main_body import main_body, not_main_body
 from .near_duplicates import near_duplicate_pairs
 from .packing import pack
@@ -47,6 +48,11 @@ def p4_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_body(_table(spark, sf_dir, "snapshot_documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history, batches = _table(spark, sf_dir, "snapshot_documents"), _table(spark, sf_dir, "snapshot_batches")
+    return rows_without_new_content(history, batches, threshold=0.5, width=3)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_counts": p3_counts,
         "p4_found": p4_found,
         "p4_body": p4_body,
+        "p5_found": p5_found,
         "p6_ids": p6_ids,
         "p7_containers": p7_containers,
         "p8_found": p8_found,
