@@ -1,24 +1,5 @@
 """Cutting of lineage through the shared checkpoint folder."""
 
-from __future__ import annotations
+from ..storage import checkpoint_dir, cut
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this machine only where none is named."""
-    sc = spark.sparkContext
-    have = sc.getCheckpointDir()
-    if have:
-        return have
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder and read from there on."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_dir", "cut"]
