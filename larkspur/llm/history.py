@@ -1,22 +1,33 @@
 """Deduplicating new batches against all history (problem 5).
 
-Method: an incremental inverted index of rare-token prefixes, partitioned by token.  The tokens of a
-text are its distinct word shingles, put in a fixed order, rarest first.  Two texts with similarity
-t or more share a token among the first n - ceil(t * n) + 1 of each, so only these prefixes are
-indexed, as postings (token, text, n) in folders by token.  A batch probes the postings with its own
-prefixes, drops pairs whose lengths exclude the similarity, and verifies the overlap of the rest on
-the whole texts.  What is accepted is appended: its text and its postings, in a folder of the batch,
-which a repeated run overwrites.  History is never processed again.
+Method: an incremental inverted index of rare-token prefixes.  The tokens of a text are its distinct
+word shingles, put in a fixed order, rarest first.  Two texts with similarity t or more share a token
+among the first n - ceil(t * n) + 1 of each, so only these prefixes are indexed.  The index is a table
+of segments of up to `SEGMENT` texts; a segment holds its postings partitioned by token: the sorted
+tokens, and for each the texts that have it.  A batch probes every segment with its own prefixes,
+drops pairs whose lengths exclude the similarity, those that share too few prefix tokens to reach it
+and those whose parity bits differ too often (the tokens folded onto `PARITY` bits by exclusive or:
+each differing bit proves a differing token), and verifies the overlap of the rest on the whole texts.  What is accepted is appended: its texts
+and its segments, in folders of the batch, which a repeated run overwrites.  History is never
+processed again.
+
+Why segments: a posting list cut across tasks by token leaves the counts of a pair in many tasks, and
+texts of few words share tokens with most texts of their language; their partial counts would all be
+shuffled.  Within a segment a pair's count is complete, so only pairs that can reach the threshold
+leave the task, and probing shuffles nothing.
 
 The order needs no table of all tokens: a token's rarity is read from a sketch of `CELLS` counters
-that counted all of the history when the index was made, and ties go by hash.  Any fixed order keeps
-the prefix rule exact; the sketch only decides how selective the prefixes are.  Its size is fixed.
+(up to 255) that counted all of the history when the index was made, and ties go by hash.  Any fixed
+order keeps the prefix rule exact; the sketch only decides how selective the prefixes are.  Its size
+is fixed; about a tenth of the history's tokens in cells keeps boilerplate out of the prefixes.
 
-Within a batch a row can repeat an earlier row.  Pairs within the batch are found in the same way and
-settled in rounds: rows without an undecided earlier partner are accepted, their partners are cases.
+Within a batch a row can repeat an earlier row.  Pairs within the batch are found in the same way, in
+segments of the batch itself.  They are settled in order of the rows by one task if they are fewer
+than `SETTLE_ROWS`, counted first; beyond that in rounds: rows without an undecided earlier partner
+are accepted, their partners are cases.
 
-Broadcasts: the sketch (4 bytes a cell), and a batch's probes or pairs if they are fewer than
-`BROADCAST_ROWS`, which is counted first; beyond that the joins shuffle.
+Broadcasts: the sketch (a byte a cell), and the prefixes of a batch in blocks of about `PROBE_TOKENS`
+tokens, one pass over the segments each; for texts to verify, their keys if fewer than `SETTLE_ROWS`.
 
 Defined results: null, empty and blank contents and those with fewer words than a shingle are never
 cases; equal contents are one text, of which only the first row of a batch can be accepted; rows
@@ -36,18 +47,26 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .near_duplicates import similarity, text_chunks
 from .storage import checkpoint_dir, cut
-
-CELLS = 1 << 19
-BUCKETS = 8
-BROADCAST_ROWS = 2_000_000
-
-
-def prefixes(text: pa.Array, width: int, threshold: float, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix tokens end to end, prefix length of each text, distinct tokens of each text)."""
+from .vptree import hamming
+
+CELLS = 1 << 22
+SEGMENT = 4096
+PARITY = 1024
+PROBE_TOKENS = 2_000_000
+SETTLE_ROWS = 2_000_000
+_MATCHES = 1 << 22
+_LISTS = ["h", "n", "s", "bits", "tokens", "ends", "texts"]
+_SEGMENT = "h array<long>, n array<int>, s array<long>, bits array<long>, tokens array<long>, ends array<int>, texts array<int>"
+
+
+def prefixes(
+    text: pa.Array, width: int, threshold: float, sketch: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix tokens end to end, prefix length, number of distinct tokens and parity bits of each text)."""
     values, first = K.shingles(*K.string_buffer(text), width)
     n_rows = len(first) - 1
     rarity = sketch[values & np.uint64(len(sketch) - 1)].astype(np.uint64)
-    composite = np.minimum(rarity, np.uint64((1 << 24) - 1)) << np.uint64(40) | values >> np.uint64(24)
+    composite = rarity << np.uint64(56) | values >> np.uint64(8)
     row = np.repeat(np.arange(n_rows, dtype=np.int32), np.diff(first))
     order = np.argsort(composite)
     small = row[order].astype(np.uint16) if n_rows < 65536 else row[order]
@@ -59,7 +78,100 @@ def prefixes(text: pa.Array, width: int, threshold: float, sketch: np.ndarray) -
     n = np.bincount(r, minlength=n_rows)
     length = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
     begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-    return v[K.ranges(begin, length)], length, n
+    place = r.astype(np.int64) * PARITY + (K.mix64(v) % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n_rows * PARITY) & 1).astype(np.uint8)
+    bits = np.packbits(odd, bitorder="little").view(np.int64)
+    return v[K.ranges(begin, length)], length, n, bits
+
+
+def segment(h: np.ndarray, n: np.ndarray, s: np.ndarray, bits: np.ndarray, prefix: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """One row: the inverted index of the prefixes of some texts."""
+    text = np.repeat(np.arange(len(h), dtype=np.int32), length)
+    order = np.argsort(prefix)
+    token, text = prefix[order], text[order]
+    last = np.flatnonzero(np.append(token[1:] != token[:-1], True)) if len(token) else np.zeros(0, np.int64)
+    columns = (h, n.astype(np.int32), s, bits, token[last], (last + 1).astype(np.int32), text)
+    whole = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns]
+    return pa.RecordBatch.from_arrays(whole, _LISTS)
+
+
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of rows (h, n, s, bits, prefix), in order of arrival."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def made() -> pa.RecordBatch:
+        b = pa.concat_batches(held)
+        h, n, s = (b.column(c).to_numpy() for c in range(3))
+        bits, prefix = b.column(3).flatten().to_numpy(), b.column(4)
+        return segment(h, n, s, bits, prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy())
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SEGMENT):
+            part = batch.slice(lo, SEGMENT)
+            if count + part.num_rows > SEGMENT:
+                yield made()
+                held, count = [], 0
+            held.append(part)
+            count += part.num_rows
+    if count:
+        yield made()
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(bits).view(np.uint64).reshape(-1, PARITY // 64)
+
+
+class Probes:
+    """Prefixes of a block of texts, sorted by token."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, s: np.ndarray, bits: np.ndarray, prefix: np.ndarray, length: np.ndarray):
+        of = np.repeat(np.arange(len(h), dtype=np.int32), length)
+        order = np.argsort(prefix)
+        self.h, self.n, self.s, self.token, self.of = h, n.astype(np.int64), s, prefix[order], of[order]
+        self.bits = _words(bits)
+
+    def against(self, seg: dict[str, np.ndarray], old: bool, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(texts of the segment, probes) that can have similarity t or more, earlier texts first."""
+        tokens, texts, size = seg["tokens"], seg["texts"], len(seg["h"])
+        if not len(tokens) or not len(self.token):
+            return
+        at = np.searchsorted(tokens, self.token)
+        at[at == len(tokens)] = 0
+        hit = tokens[at] == self.token
+        at, of = at[hit], self.of[hit]
+        order = np.argsort(of, kind="stable")
+        at, of = at[order], of[order]
+        begin = np.where(at > 0, seg["ends"][at - 1], 0).astype(np.int64)
+        count = seg["ends"][at] - begin
+        upto = np.concatenate([[0], np.cumsum(count)])
+        n, bits = seg["n"].astype(np.int64), _words(seg["bits"])
+        rest = lambda m: np.ceil(t * m - 1e-9)
+        i = 0
+        while i < len(of):
+            j = int(np.searchsorted(upto, upto[i] + _MATCHES, "right")) - 1
+            j = min(j, int(np.searchsorted(of, of[i] + max(1, _MATCHES // size), "left")))
+            if j < len(of):  # whole probes only
+                j = int(np.searchsorted(of, of[j], "left"))
+                if j <= i:
+                    j = int(np.searchsorted(of, of[i], "right"))
+            first = int(of[i])
+            key = np.repeat((of[i:j] - first).astype(np.int64) * size, count[i:j]) + texts[K.ranges(begin[i:j], count[i:j])]
+            shared = np.bincount(key)
+            cell = np.flatnonzero(shared)
+            q, d = first + cell // size, cell % size
+            a, b = n[d], self.n[q]
+            # of two prefixes one ends earlier in the order; a shared token that is not in both prefixes
+            # lies behind that one's end, so no more than its remaining tokens are to come
+            to_come = np.maximum(rest(a), rest(b)) - 1
+            good = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (shared[cell] + to_come >= np.ceil(t / (1 + t) * (a + b) - 1e-9))
+            if not old:
+                good &= seg["s"][d] < self.s[q]
+            d, q, most = d[good], q[good], (a + b)[good]
+            differ = hamming(bits[d], self.bits[q])
+            good = most - differ >= 2 * np.ceil(t / (1 + t) * most - 1e-9)
+            yield d[good], q[good]
+            i = j
 
 
 class HistoryIndex:
@@ -78,46 +190,42 @@ class HistoryIndex:
         texts = history.select(F.col(text).cast("string").alias("t")).where("t is not null and trim(t) <> ''").distinct()
         self._put_texts(texts.select(F.xxhash64("t").alias("h"), "t"), 0)
         self._count()
-        stored = self._texts().where("batch = 0").select("h", "t")
-        self._put_postings(self._prefixed(stored, "h long"), 0)
+        stored = self._texts().where("batch = 0").select("h", F.lit(0).cast("long").alias("s"), "t")
+        self._put_segments(self._prefixed(stored, "h long, s long"), 0)
 
     def _count(self) -> None:
-        width = self.width
-        ranges, cells = 64, CELLS
+        width, ranges, cells = self.width, 32, CELLS
+        step = cells // ranges
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(cells, np.int64)
+            total = np.zeros(cells, np.int32)
             for batch in batches:
                 for part in text_chunks(batch, 0):
                     values, _ = K.shingles(*K.string_buffer(part.column(0)), width)
-                    total += np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-            step = cells // ranges
-            counts = np.minimum(total, 2**31 - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(ranges), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(ranges + 1, dtype=np.int32) * step), pa.array(counts))],
-                ["r", "c"],
-            )
+                    np.add(total, np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells), out=total, casting="unsafe")
+            counts = np.minimum(total, 255).astype(np.uint8)
+            parts = [counts[r * step : (r + 1) * step].tobytes() for r in range(ranges)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(parts, pa.binary())], ["r", "c"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for i, r in enumerate(batch.column(0).to_pylist()):
-                    c = batch.column(1).slice(i, 1).flatten().to_numpy().astype(np.int64)
-                    sums[r] = sums[r] + c if r in sums else c
+                for r, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    one = np.frombuffer(c.as_buffer(), np.uint8).astype(np.int32)
+                    sums[r] = np.minimum(sums[r] + one, 255) if r in sums else one
             for r, c in sums.items():
-                c = np.minimum(c, 2**31 - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([c.tolist()], pa.list_(pa.int32()))], ["r", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([c.astype(np.uint8).tobytes()], pa.binary())], ["r", "c"])
 
-        parts = self._texts().select("t").mapInArrow(scan, "r int, c array<int>")
-        parts.repartition(8, "r").mapInArrow(add, "r int, c array<int>").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/sketch")
+        parts = self._texts().select("t").mapInArrow(scan, "r int, c binary")
+        parts.repartition(8, "r").mapInArrow(add, "r int, c binary").write.mode("overwrite").parquet(f"{self.folder}/sketch")
 
     def sketch(self):
-        """Broadcast of the counters; its size is fixed by `CELLS`."""
+        """Broadcast of the counters; its size is fixed by `CELLS`, a byte each."""
         if self._sketch is None:
-            cells = np.zeros(CELLS, np.int32)
+            cells = np.zeros(CELLS, np.uint8)
             for row in self.spark.read.parquet(f"{self.folder}/sketch").collect():
                 step = len(row["c"])
-                cells[row["r"] * step : (row["r"] + 1) * step] = row["c"]
+                cells[row["r"] * step : (row["r"] + 1) * step] = np.frombuffer(row["c"], np.uint8)
             self._sketch = self.spark.sparkContext.broadcast(cells)
         return self._sketch
 
@@ -129,31 +237,31 @@ class HistoryIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in text_chunks(batch, at):
-                    tokens, length, n = prefixes(part.column(at), width, threshold, sketch.value)
+                    tokens, length, n, bits = prefixes(part.column(at), width, threshold, sketch.value)
                     to = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+                    words = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (PARITY // 64))
+                    lists = [pa.ListArray.from_arrays(words, pa.array(bits)), pa.ListArray.from_arrays(to, pa.array(tokens.view(np.int64)))]
                     full = pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(to, pa.array(tokens.view(np.int64)))],
-                        [*part.schema.names, "n", "prefix"],
+                        [*part.columns, pa.array(n.astype(np.int32)), *lists], [*part.schema.names, "n", "bits", "prefix"]
                     )
                     yield full.filter(pa.array(n > 0))
 
-        return df.mapInArrow(run, f"{other}, t string, n int, prefix array<long>")
+        return df.mapInArrow(run, f"{other}, t string, n int, bits array<long>, prefix array<long>")
 
     def _put_texts(self, texts: DataFrame, batch: int) -> None:
         texts.write.mode("overwrite").parquet(f"{self.folder}/texts/batch={batch}")
 
-    def _put_postings(self, prefixed: DataFrame, batch: int) -> None:
-        rows = prefixed.select(F.explode("prefix").alias("token"), "h", "n")
-        rows = rows.withColumn("bucket", F.pmod("token", F.lit(BUCKETS)).cast("int"))
-        if batch:  # the first load is written as it is made, without a shuffle
-            rows = rows.repartition(BUCKETS, "bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/batch={batch}")
+    def _segments_of(self, prefixed: DataFrame) -> DataFrame:
+        return prefixed.select("h", "n", "s", "bits", "prefix").mapInArrow(segments, _SEGMENT)
+
+    def _put_segments(self, prefixed: DataFrame, batch: int) -> None:
+        self._segments_of(prefixed).write.mode("overwrite").parquet(f"{self.folder}/segments/batch={batch}")
 
     def _texts(self) -> DataFrame:
         return self.spark.read.schema("h long, t string, batch int").parquet(f"{self.folder}/texts")
 
-    def _postings(self) -> DataFrame:
-        return self.spark.read.schema("token long, h long, n int, batch int, bucket int").parquet(f"{self.folder}/postings")
+    def _segments(self) -> DataFrame:
+        return self.spark.read.schema(_SEGMENT + ", batch int").parquet(f"{self.folder}/segments")
 
     def drop(self) -> None:
         """Delete the index."""
@@ -167,45 +275,57 @@ class HistoryIndex:
 
         Returns (seq), the rows that bring no new content.
         """
-        src = rows.select(F.col(seq).alias("s"), F.col(text).cast("string").alias("t"))
+        kind = rows.schema[seq].dataType.simpleString()
+        src = rows.select(F.col(seq).cast("long").alias("s"), F.col(text).cast("string").alias("t"))
         src = src.where("s is not null and t is not null and trim(t) <> ''")
-        kind = src.schema["s"].dataType.simpleString()
-        classes = src.groupBy("t").agg(F.min("s").alias("s"), F.collect_list("s").alias("all"))
-        own = cut(
-            self._prefixed(classes.select("s", "all", F.xxhash64("t").alias("h"), "t"), f"s {kind}, all array<{kind}>, h long")
-        )
-        probes = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        few = probes <= BROADCAST_ROWS
-        probe = own.select(F.explode("prefix").alias("token"), F.col("h").alias("b"), F.col("n").alias("nb"))
-        fits = F.least("n", "nb") >= F.lit(self.threshold) * F.greatest("n", "nb") - 1e-9
-        old = (
-            self._postings()
-            .where(F.col("batch") < batch)  # a repeated run does not see itself
-            .join(F.broadcast(probe) if few else probe, "token")
-            .where(fits)
-            .select("b", F.col("h").alias("a"), F.lit(True).alias("old"))
-        )
-        mine = own.select(F.explode("prefix").alias("token"), "h", "n", "s")
-        new = (
-            mine.join(mine.select("token", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "token")
-            .where("s < sb")
-            .where(fits)
-            .select("b", F.col("h").alias("a"), F.lit(False).alias("old"))
-        )
-        pairs = cut(old.unionByName(new).distinct())
-        edges = cut(self._verify(pairs, own, batch))
-        known = edges.where("old").select(F.col("b").alias("h")).distinct()
-        within = edges.where("not old").select("a", "b")
-        cases = cut(self._settle(known, within))
-        repeats = own.select(F.explode("all").alias(seq), "s").where(F.col(seq) != F.col("s")).select(seq)
+        classes = src.groupBy("t").agg(F.min("s").alias("s"))
+        own = cut(self._prefixed(classes.select("s", F.xxhash64("t").alias("h"), "t"), "s long, h long"))
+        pairs = cut(self._probe(own, batch))
+        n_pairs = pairs.count()
+        edges = self._verify(pairs, own, batch, n_pairs <= SETTLE_ROWS)
+        cases = cut(self._settle_at_once(edges) if n_pairs <= SETTLE_ROWS else self._settle(cut(edges)))
+        repeats = src.select(F.col("s").alias(seq), F.xxhash64("t").alias("h")).join(own.select("h", "s"), "h")
+        repeats = repeats.where(F.col(seq) > F.col("s")).select(seq)
         found = own.join(cases, "h", "left_semi").select(F.col("s").alias(seq)).unionByName(repeats)
         fresh = own.join(cases, "h", "left_anti")
         self._put_texts(fresh.select("h", "t"), batch)
-        self._put_postings(fresh, batch)
-        return found
-
-    def _verify(self, pairs: DataFrame, own: DataFrame, batch: int) -> DataFrame:
-        few = pairs.count() <= BROADCAST_ROWS
+        self._put_segments(fresh, batch)
+        return found.select(F.col(seq).cast(kind).alias(seq))
+
+    def _probe(self, own: DataFrame, batch: int) -> DataFrame:
+        """(a, b, sb, old): pairs of an earlier and a new text that can reach the threshold."""
+        stored = self._segments().where(F.col("batch") < batch)  # a repeated run does not see itself
+        every = stored.select(*_LISTS, F.lit(True).alias("old")).unionByName(
+            self._segments_of(own).select(*_LISTS, F.lit(False).alias("old"))
+        )
+        tokens = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        blocks = -(-tokens // PROBE_TOKENS)
+        threshold = self.threshold
+        out = self.spark.createDataFrame([], "a long, b long, sb long, old boolean")
+        for block in range(blocks):
+            mine = own.where(F.pmod(F.col("h"), F.lit(blocks)) == block).select("h", "n", "s", "bits", "prefix").toArrow()
+            bits, lists = (mine.column(c).combine_chunks() for c in ("bits", "prefix"))
+            plain = (mine.column(c).to_numpy() for c in ("h", "n", "s"))
+            probes = Probes(*plain, bits.flatten().to_numpy(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
+            sent = self.spark.sparkContext.broadcast(probes)
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                probes = sent.value
+                for rows in batches:
+                    for i in range(rows.num_rows):
+                        row = rows.slice(i, 1)
+                        seg = {c: row.column(c).flatten().to_numpy() for c in _LISTS}
+                        old = row.column("old")[0].as_py()
+                        for d, q in probes.against(seg, old, threshold):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(seg["h"][d]), pa.array(probes.h[q]), pa.array(probes.s[q]), pa.array(np.full(len(d), old))],
+                                ["a", "b", "sb", "old"],
+                            )
+
+            out = out.unionByName(every.mapInArrow(run, "a long, b long, sb long, old boolean"))
+        return out
+
+    def _verify(self, pairs: DataFrame, own: DataFrame, batch: int, few: bool) -> DataFrame:
         wanted = pairs.where("old").select(F.col("a").alias("h")).distinct()
         stored = self._texts().where(F.col("batch") < batch).select("h", "t")
         stored = stored.join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
@@ -213,21 +333,37 @@ class HistoryIndex:
             own.select(F.col("h").alias("a"), F.col("t").alias("ta"), F.lit(False).alias("old"))
         )
         right = own.select(F.col("h").alias("b"), F.col("t").alias("tb"))
-        both = pairs.join(left, ["a", "old"]).join(right, "b").select("a", "b", "old", "ta", "tb")
+        both = pairs.join(left, ["a", "old"]).join(right, "b").select("a", "b", "sb", "old", "ta", "tb")
         width, threshold = self.width, self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
                 for lo in range(0, part.num_rows, 1024):
                     p = part.slice(lo, 1024)
-                    good = similarity(p.column(3), p.column(4), width) >= threshold
-                    yield p.select(["a", "b", "old"]).filter(pa.array(good))
+                    good = similarity(p.column(4), p.column(5), width) >= threshold
+                    yield p.select(["a", "b", "sb", "old"]).filter(pa.array(good))
+
+        return both.mapInArrow(run, "a long, b long, sb long, old boolean")
+
+    @staticmethod
+    def _settle_at_once(edges: DataFrame) -> DataFrame:
+        """The result of `_settle` for a counted, small number of edges: one task, in order of the rows."""
 
-        return both.mapInArrow(run, "a long, b long, old boolean")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cases: set[int] = set()
+            for batch in batches:
+                for a, b, old in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "old"))):
+                    if old or a not in cases:  # what comes before b is settled
+                        cases.add(b)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(cases), pa.int64())], ["h"])
+
+        return edges.repartition(1).sortWithinPartitions("sb").mapInArrow(run, "h long")
 
     @staticmethod
-    def _settle(known: DataFrame, within: DataFrame) -> DataFrame:
-        """(h): texts of the batch that repeat an accepted one; within: (a, b), a before b."""
+    def _settle(edges: DataFrame) -> DataFrame:
+        """(h): texts of the batch that repeat an accepted one; edges: (a, b, old), a before b in the batch or old."""
+        known = edges.where("old").select(F.col("b").alias("h")).distinct()
+        within = edges.where("not old").select("a", "b")
         cases = known
         open_edges = cut(
             within.join(known.select(F.col("h").alias("b")), "b", "left_anti").join(known.select(F.col("h").alias("a")), "a", "left_anti").select("a", "b")
