@@ -111,8 +111,17 @@ t AS (SELECT id, unnest(tokens) AS term FROM once),
 c AS (SELECT term, count(*) AS occurrences, count(DISTINCT id) AS records FROM t WHERE term IS NOT NULL AND term <> '' GROUP BY term)"""
 
 
+_PAIRS = f"""
+once AS ({_ONCE}),
+w AS (SELECT id, list_transform(regexp_extract_all(coalesce(content, ''), '[a-zA-Z0-9]+'), lambda x: lower(x)) AS w FROM once),
+runs AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS r FROM w WHERE len(w) >= 3),
+s AS (SELECT id, len(r) AS n, unnest(r) AS run FROM runs),
+p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS n, b.n AS m, count(*) AS common FROM s a JOIN s b ON a.run = b.run AND a.id < b.id GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"WITH {_PAIRS} SELECT id_a, id_b FROM p WHERE 2 * common >= n + m - common",
         "p2_found": f"WITH {_LINES} SELECT id, line_no FROM found",
         "p2_cleaned": f"""WITH {_LINES},
 cut AS (SELECT id, list(line_no) AS cut FROM found GROUP BY id)
