@@ -1,8 +1,8 @@
 """Near-duplicate texts (problem 1).
 
-Method: vantage-point trees over fingerprints.  A text's fingerprint has one bit of each of `HASHES`
+Method: vantage-point trees over fingerprints.  A text's fingerprint has one bit of each of `BITS`
 minima over its set of word shingles, so the Hamming distance of two fingerprints estimates their
-similarity J as HASHES * (1 - J) / 2.  Fingerprints are placed in overlapping shards, and within each
+similarity J as BITS * (1 - J) / 2.  Fingerprints are placed in overlapping shards, and within each
 shard a vantage-point tree finds every two within the radius that belongs to the threshold, pruning
 branches by the triangle inequality.  The pairs found are verified on the whole texts, exactly.
 
@@ -10,7 +10,7 @@ Which shards: a vantage point cannot cut the collection as a whole at these thre
 fingerprints lie 91 +- 7 bits of 192 apart, the radius for J >= 0.5 is 75, so d(x, v) says nothing
 about which far branch to skip, and every boundary strip would hold all points.  So a fingerprint's
 shards are given by bands of `ROWS` of its minima (`HASHES / ROWS` overlapping shards a text), which
-lose a pair of J = 0.6 with probability 1e-3 and of J = 0.7 with 2e-6, whatever the collection's size.
+lose a pair of J = 0.6 with probability 1e-4 and of J = 0.7 with 2e-8, whatever the collection's size.
 The trees do the work inside the shards.
 
 A shard of more than `LIMIT` texts is split into blocks, and each pair of blocks is one task's tree
@@ -35,15 +35,16 @@ from . import kernels as K
 from .storage import cut
 from .vptree import VPTree, hamming
 
-HASHES = 192
+HASHES = 256
 ROWS = 4
+BITS = 192
 LIMIT = 4096
-_CHUNK = 1 << 22
-_WORDS = HASHES // 64
+_CHUNK = 1 << 20
+_WORDS = BITS // 64
 _FP = [f"f{k}" for k in range(_WORDS)]
 
 
-def radius(threshold: float, hashes: int = HASHES, deviations: float = 4.5) -> int:
+def radius(threshold: float, hashes: int = BITS, deviations: float = 4.5) -> int:
     """Hamming distance that a pair at the threshold exceeds only beyond so many standard deviations."""
     p = (1 - threshold) / 2
     return int(np.ceil(hashes * p + deviations * np.sqrt(hashes * p * (1 - p))))
@@ -64,7 +65,7 @@ def minima(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _fingerprint(m: np.ndarray) -> np.ndarray:
-    bits = ((m * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint8)
+    bits = ((m[:, :BITS] * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
