@@ -33,15 +33,20 @@ def trim_space(text: Column) -> Column:
 
 def fnv1a(token: Column) -> Column:
     """FNV-1a, 32 bits, of the UTF-8 bytes, as a non-negative BIGINT."""
-    digits = F.hex(F.encode(token, "UTF-8"))
-    n = F.length(digits) / 2
-    octets = F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"),
+    step = lambda h, b: (h.bitwiseXOR(b) * FNV_PRIME).bitwiseAND(F.lit(UINT32))
+    start = F.lit(FNV_OFFSET).cast("bigint")
+
+    def places(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    plain = F.aggregate(
+        places(F.length(token)), start, lambda h, i: step(h, F.ascii(F.substring(token, i, F.lit(1))).cast("bigint"))
     )
-    return F.aggregate(
-        octets, F.lit(FNV_OFFSET).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * FNV_PRIME).bitwiseAND(F.lit(UINT32))
+    digits = F.hex(F.encode(token, "UTF-8"))
+    wide = F.aggregate(
+        places(F.length(digits) / 2), start, lambda h, i: step(h, F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))
     )
+    return F.when(F.length(token) == F.octet_length(token), plain).otherwise(wide)
 
 
 def snippet(content: Column, tokens: Column, before: int = 40, plain: int = 80) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SemanticParams
-from ..functions.text import FNV_OFFSET, FNV_PRIME, UINT32, fnv1a, tokenize
+from ..functions.text import FNV_OFFSET, FNV_PRIME, UINT32, tokenize
 from .rank import DIGITS, query_tokens, ranked
 
 #: Queries of one block of a batch search.
@@ -40,46 +40,62 @@ def embed_query(query: str, dimension: int) -> list[int]:
     return v
 
 
+def _hash_column(tokens: pa.Array) -> np.ndarray:
+    """FNV-1a, 32 bits, of every string of a column: one step a byte position over all strings at once."""
+    tokens = tokens.cast(pa.large_string())
+    off = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+    raw = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)
+    h = np.full(len(tokens), FNV_OFFSET, np.uint64)
+    size = np.diff(off)
+    order = np.argsort(-size, kind="stable")  # strings that are still running stay in front
+    start, left = off[:-1][order], size[order]
+    for i in range(int(left[0]) if len(left) else 0):
+        n = int(np.searchsorted(-left, -i, "left"))
+        at = order[:n]
+        h[at] = ((h[at] ^ raw[start[:n] + i]) * np.uint64(FNV_PRIME)) & np.uint64(UINT32)
+    return h
+
+
 def embeddings(docs: DataFrame, params: SemanticParams = SemanticParams(), text: str = "content") -> DataFrame:
     """(doc_id, vec ARRAY<BIGINT>) of every document; the content's own tokens, supplied ones are ignored.
 
-    Distinct terms of a document are hashed once; documents without tokens keep a zero vector.
+    A document's vector needs only its own row, so nothing is shuffled; documents without tokens have
+    a zero vector.
     """
-    terms = docs.select("doc_id", F.explode(tokenize(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    dims = terms.select("doc_id", (fnv1a(F.col("term")) % params.dimension).cast("int").alias("dim"), "n")
-    return dense(docs.select("doc_id"), dims, params.dimension)
-
-
-def dense(ids: DataFrame, dims: DataFrame, dimension: int) -> DataFrame:
-    """(doc_id, vec) from sparse counts (doc_id, dim, n)."""
-    zero = F.array_repeat(F.lit(0).cast("bigint"), dimension)
-    rows = ids.select("doc_id", F.lit(0).alias("dim"), F.lit(0).cast("bigint").alias("n")).unionByName(dims)
-    per = rows.groupBy("doc_id", "dim").agg(F.sum("n").alias("n"))
-    packed = per.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "n"))).alias("m"))
-    return packed.select(
-        "doc_id",
-        F.transform(zero, lambda _, i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("bigint"))).alias("vec"),
-    )
-
-
-def norm(vec: Column) -> Column:
-    return F.sqrt(F.aggregate(vec, F.lit(0).cast("bigint"), lambda s, x: s + x * x).cast("double"))
+    dimension = params.dimension
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                lists = batch.column(1)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                dim = (_hash_column(lists.flatten()) % np.uint64(dimension)).astype(np.int64)
+                vec = np.bincount(row * dimension + dim, minlength=len(lists) * dimension)
+                to = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dimension)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(to, pa.array(vec))], ["doc_id", "vec"])
 
-def signature(vec: Column, plane_rows: Column) -> Column:
-    """One character a hyperplane: 1 where the product is not negative."""
-    bit = lambda p: F.when(
-        F.aggregate(F.zip_with(vec, p, lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x) >= 0, "1"
-    ).otherwise("0")
-    return F.array_join(F.transform(plane_rows, bit), "")
+    return docs.select("doc_id", tokenize(F.col(text)).alias("t")).mapInArrow(run, "doc_id string, vec array<bigint>")
 
 
 def with_signatures(vectors: DataFrame, params: SemanticParams) -> DataFrame:
-    """(doc_id, vec, norm, sig); the planes are a table of fixed size."""
-    one = vectors.sparkSession.createDataFrame([(planes(params),)], "planes array<array<bigint>>")
-    return vectors.crossJoin(F.broadcast(one)).select(
-        "doc_id", "vec", norm(F.col("vec")).alias("norm"), signature(F.col("vec"), F.col("planes")).alias("sig")
-    )
+    """(doc_id, vec, norm, sig): sig has one character a hyperplane, 1 where the product is not negative.
+
+    Products are exact integers; the planes travel with the task, their size is fixed.
+    """
+    rows = np.array(planes(params), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, rows.shape[1])
+            length = np.sqrt((v * v).sum(axis=1).astype(np.float64))
+            digits = np.where(v @ rows.T >= 0, np.uint8(49), np.uint8(48)).astype(np.uint8)
+            to = np.arange(n + 1, dtype=np.int32) * rows.shape[0]
+            sig = pa.StringArray.from_buffers(n, pa.py_buffer(to.tobytes()), pa.py_buffer(digits.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(length), sig], ["doc_id", "vec", "norm", "sig"])
+
+    return vectors.select("doc_id", "vec").mapInArrow(run, "doc_id string, vec array<bigint>, norm double, sig string")
 
 
 @dataclass
