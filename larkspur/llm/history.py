@@ -31,11 +31,12 @@ tokens, one pass over the segments each; for texts to verify, their keys if fewe
 
 Defined results: null, empty and blank contents and those with fewer words than a shingle are never
 cases; equal contents are one text, of which only the first row of a batch can be accepted; rows
-without a sequence number are left out; extra columns are ignored; empty tables give an empty table.
+without a sequence or batch number are left out; extra columns are ignored; empty tables give an empty table.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -50,11 +51,11 @@ from .storage import checkpoint_dir, cut
 from .vptree import hamming
 
 CELLS = 1 << 22
-SEGMENT = 4096
+SEGMENT = 2048
 PARITY = 1024
 PROBE_TOKENS = 2_000_000
 SETTLE_ROWS = 2_000_000
-_MATCHES = 1 << 22
+_MATCHES = 1 << 20
 _LISTS = ["h", "n", "s", "bits", "tokens", "ends", "texts"]
 _SEGMENT = "h array<long>, n array<int>, s array<long>, bits array<long>, tokens array<long>, ends array<int>, texts array<int>"
 
@@ -202,7 +203,7 @@ class HistoryIndex:
             for batch in batches:
                 for part in text_chunks(batch, 0):
                     values, _ = K.shingles(*K.string_buffer(part.column(0)), width)
-                    np.add(total, np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells), out=total, casting="unsafe")
+                    np.add.at(total, (values & np.uint64(cells - 1)).astype(np.int64), 1)
             counts = np.minimum(total, 255).astype(np.uint8)
             parts = [counts[r * step : (r + 1) * step].tobytes() for r in range(ranges)]
             yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(parts, pa.binary())], ["r", "c"])
@@ -280,7 +281,7 @@ class HistoryIndex:
         src = src.where("s is not null and t is not null and trim(t) <> ''")
         classes = src.groupBy("t").agg(F.min("s").alias("s"))
         own = cut(self._prefixed(classes.select("s", F.xxhash64("t").alias("h"), "t"), "s long, h long"))
-        pairs = cut(self._probe(own, batch))
+        pairs = self._probe(own, batch)
         n_pairs = pairs.count()
         edges = self._verify(pairs, own, batch, n_pairs <= SETTLE_ROWS)
         cases = cut(self._settle_at_once(edges) if n_pairs <= SETTLE_ROWS else self._settle(cut(edges)))
@@ -301,7 +302,8 @@ class HistoryIndex:
         tokens = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
         blocks = -(-tokens // PROBE_TOKENS)
         threshold = self.threshold
-        out = self.spark.createDataFrame([], "a long, b long, sb long, old boolean")
+        shape = "a long, b long, sb long, old boolean"
+        found = []
         for block in range(blocks):
             mine = own.where(F.pmod(F.col("h"), F.lit(blocks)) == block).select("h", "n", "s", "bits", "prefix").toArrow()
             bits, lists = (mine.column(c).combine_chunks() for c in ("bits", "prefix"))
@@ -322,8 +324,9 @@ class HistoryIndex:
                                 ["a", "b", "sb", "old"],
                             )
 
-            out = out.unionByName(every.mapInArrow(run, "a long, b long, sb long, old boolean"))
-        return out
+            found.append(cut(every.mapInArrow(run, shape)))
+            sent.destroy()
+        return functools.reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], shape)
 
     def _verify(self, pairs: DataFrame, own: DataFrame, batch: int, few: bool) -> DataFrame:
         wanted = pairs.where("old").select(F.col("a").alias("h")).distinct()
@@ -389,11 +392,13 @@ def rows_without_new_content(
     width: int = 5,
 ) -> DataFrame:
     """(seq) of the rows of all batches, taken in order of their numbers, that bring no new content."""
-    index = HistoryIndex(history.sparkSession, None, threshold, width)
+    spark = history.sparkSession
+    index = HistoryIndex(spark, None, threshold, width)
     index.create(history, text)
-    found = batches.select(seq).where("false")
     numbers = sorted(r[0] for r in batches.select(number).distinct().where(F.col(number).isNotNull()).collect())
+    shape, out = batches.select(seq).where("false"), f"{index.folder}-found"
     for i, n in enumerate(numbers, 1):
-        found = found.unionByName(index.add_batch(batches.where(F.col(number) == n), i, seq, text))
+        found = index.add_batch(batches.where(F.col(number) == n), i, seq, text)
+        found.coalesce(8).write.mode("overwrite").parquet(f"{out}/batch={i}")
     index.drop()
-    return found
+    return spark.read.schema(shape.schema).parquet(f"{out}/*") if numbers else shape
