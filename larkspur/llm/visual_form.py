@@ -212,6 +212,24 @@ def _chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
+def _ascii_rows(col: pa.Array) -> np.ndarray:
+    """Which texts are plain ASCII: nothing to unify in them, and no token of mixed scripts."""
+    raw, off = K.string_buffer(col)
+    high = np.concatenate([[0], np.cumsum(raw > 0x7F)])
+    return high[off[1:]] == high[off[:-1]]
+
+
+def _ascii_tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of letters of ASCII texts: (starts, ends)."""
+    letter = tables().letter[raw]
+    step = np.diff(np.append(letter, False).astype(np.int8), prepend=np.int8(0))
+    s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    cuts = off[1:-1]
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(raw))])
+    cuts = cuts[letter[cuts] & letter[cuts - 1]]
+    return np.sort(np.concatenate([s, cuts])), np.sort(np.concatenate([e, cuts]))
+
+
 def approved_repairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, approved): for documents with mixed tokens, hashes of the repaired tokens the corpus knows."""
     src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
@@ -220,9 +238,13 @@ def approved_repairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch, 1):
+                plain = _ascii_rows(part.column(1))
+                raw, off = K.string_buffer(part.column(1).filter(pa.array(plain)))
+                known = K.SegmentHash(raw, 21)(*_ascii_tokens(raw, off))
+                part = part.filter(pa.array(~plain))
                 cps, off = fold(*K.code_points(part.column(1)))
                 s, _, mixed, h, _, hf, unmixed = repairs(cps, off)
-                words = np.unique(h[~mixed])
+                words = np.unique(np.concatenate([known, h[~mixed]]))
                 at = np.flatnonzero(unmixed)
                 row = np.searchsorted(off, s[at], "right") - 1
                 keys = pa.concat_arrays([pa.nulls(len(words), part.schema.field(0).type), part.column(0).take(pa.array(row))])
@@ -279,6 +301,17 @@ def canonical_text(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return src.mapInArrow(run, f"k {kind}, canonical string").withColumnRenamed("k", key)
 
 
+def _solid(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts that are not blank."""
+    upto = np.concatenate([[0], np.cumsum(K.char_classes()[symbols] != K.SPACE)])
+    return np.flatnonzero(upto[off[1:]] > upto[off[:-1]])
+
+
+def _key_batch(keys: pa.Array, rows: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+    lists = [keys.take(pa.array(rows)), *(pa.array(c.view(np.int64)) for c in cols)]
+    return pa.RecordBatch.from_arrays(lists, ["k", "look_a", "look_b", "raw_a", "raw_b"])
+
+
 def visual_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, look_a, look_b, raw_a, raw_b): 128-bit keys of the look and of the stored text, blank texts left out."""
     src = _with_repairs(docs, key, text)
@@ -287,16 +320,21 @@ def visual_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch, 1):
+                plain = _ascii_rows(part.column(1))
+                easy = part.filter(pa.array(plain))
+                raw, at = K.string_buffer(easy.column(1))
+                rows = _solid(raw, at)
+                cols = [K.SegmentHash(raw, seed)(at[:-1][rows], at[1:][rows]) for seed in (31, 32)]
+                yield _key_batch(easy.column(0), rows, cols * 2)
+                part = part.filter(pa.array(~plain))
+                if not part.num_rows:
+                    continue
                 cps, off = _repaired(part)
                 shape = tables().latin[cps]
-                solid = np.concatenate([[0], np.cumsum(K.char_classes()[cps] != K.SPACE)])
-                rows = np.flatnonzero(solid[off[1:]] > solid[off[:-1]])
+                rows = _solid(cps, off)
                 raw, at = K.string_buffer(part.column(1))
                 cols = [K.SegmentHash(x, seed)(o[:-1][rows], o[1:][rows]) for x, o in ((shape, off), (raw, at)) for seed in (31, 32)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), *(pa.array(c.view(np.int64)) for c in cols)],
-                    ["k", "look_a", "look_b", "raw_a", "raw_b"],
-                )
+                yield _key_batch(part.column(0), rows, cols)
 
     return src.mapInArrow(run, f"k {kind}, look_a long, look_b long, raw_a long, raw_b long")
 
