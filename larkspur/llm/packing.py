@@ -25,6 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .tokenizer import VOCABULARY, vocabulary
 
 SHARD = 4096
@@ -60,7 +61,7 @@ class ShardIndex:
         lo, hi = self._post[codes], self._post[codes + 1]
         if not len(codes):
             return np.zeros(self.n, np.float32)
-        idx = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist())])
+        idx = K.ranges(lo, hi - lo)
         return np.bincount(self._post_item[idx], self._post_weight[idx], self.n)
 
 
@@ -99,7 +100,8 @@ def pack_shard(ids: np.ndarray, start: np.ndarray, size: np.ndarray, capacity: i
         if room > 0:
             if room > capacity * _CLOSE:
                 score = index.scores(seed)
-                for i in np.argsort(-score, kind="stable")[: 4 * 64].tolist():
+                near = np.flatnonzero(unused & (score > 0) & (size <= room))
+                for i in near[np.argsort(-score[near], kind="stable")].tolist():
                     if unused[i] and size[i] <= room and score[i] > 0:
                         unused[i] = False
                         where[i] = now
