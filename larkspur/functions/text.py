@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: white space that is trimmed from text nodes and titles, as a class of regular expressions.
-BLANK = r"[\s\x0B\u0085   -     　]"
+BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 FNV_OFFSET, FNV_PRIME, UINT32 = 2166136261, 16777619, 4294967295
 
 
