@@ -1,17 +1,21 @@
 """Main body of web pages (problem 4).
 
-Method: tree scoring over the blocks of a page.  The page's lines are the leaves.  A line that is
-made of links or other page furniture (menus, paths, consent notices, author lines, prompts,
-pointers to other pages, counters, advertisements, legal text, controls) has link density 1; a
-sentence line has density 0 and earns points for its length and its commas.  Blocks are the runs of
-lines between dense lines; each line passes its points, discounted by the block's link density, to
-its block and half of them to the page.  The block with most points is the main container; it is
-kept together with its siblings (blocks of the article's span: those that have points of their own,
-and the headings, lists, tables, examples and quotations around them), less their dense lines.
-
-Content is text, so links are recognised by their wording: short fixed phrases of four languages,
-given below as fixed values.  A list of pointers is a heading of pointers and the titles or teasers
-that follow it.  Each page is scored by itself: the operator is map-only, after one distinct by id.
+Method: tree scoring over the blocks of a page.  The page's lines are the leaves.  A line worded like
+page furniture (menus, paths, consent notices, author lines, prompts, pointers to other pages,
+counters, advertisements, legal text, controls) has link density 1; any other line has a density by
+its form: 0 for prose, little for items, rows and requests, more for short unpunctuated lines, most
+for separated labels and for labels in runs.  A sentence line earns points for its length and its
+commas.  Blocks are runs of lines on one side of density 0.5, sections the blocks between furniture;
+points, discounted by the block's density, go in full to the block, by half to its section, by a
+quarter to the page.  The node with most points is the main container.  Its siblings are the blocks
+with a share of the best block's points; labels inside their span, or right behind them as a
+heading, are kept, labels outside are not, whatever their words.
+
+The wording is short fixed phrases of four languages, given below as fixed values; it decides alone
+on furniture inside the article and on furniture written as sentences, which form cannot tell from
+headings and prose.  A list of pointers is a heading of pointers and the titles or teasers that
+follow it.  Each page is scored by itself (lines repeated within a site are not counted: the
+article's own headings repeat as well): the operator is map-only, after one distinct by id.
 
 Defined results: rows of one id count once; null, empty and blank contents have no lines; a page
 without any sentence keeps its title and what is not furniture; extra columns are ignored; an
@@ -115,6 +119,7 @@ PROSE = re.compile(
 )
 _SPLIT = re.compile(r"\s*[|/·»>›•]\s*")
 _TEASER = re.compile(r".*(?:… ?(?:read more|weiterlesen|lire la suite|leer más|mehr|suite|más)|…)$")
+_ITEM = re.compile(r"(?:[*>•–-]|\d+[.)]|GET|POST|PUT|DELETE|PATCH|HEAD)\s|[*=_ -]+$|.*\w\S*[=&]\S")
 _END = re.compile(r"[.!?…。:;»”\"')\]]$")
 
 
@@ -140,6 +145,8 @@ def _path_end(low: str, known: set[str]) -> str:
 
 
 _KNOWN: dict[str, bool] = {}
+#: Share of the best block's points that makes a block a sibling of the container.
+SIBLING = 0.02
 
 
 def is_furniture(low: str) -> bool:
@@ -154,6 +161,66 @@ def is_furniture(low: str) -> bool:
     return got
 
 
+def _density(flat: list[str], sentence: list[bool], dense: list[bool], solid: list[int], k: int) -> float:
+    """Link density of the k-th non-blank line from its form: 0 for prose, more for short unpunctuated lines in runs."""
+    i = solid[k]
+    x = flat[i]
+    if dense[i]:
+        return 1.0
+    if sentence[i] or len(x) > 60 or (i and len(flat[i - 1]) > 50 and not dense[i - 1] and _END.search(x) and not _END.search(flat[i - 1])):
+        return 0.0  # prose, or the end of a wrapped paragraph
+    if _ITEM.match(x) or any(c.isdigit() for c in x):
+        return 0.25
+    parts = _SPLIT.split(x)
+    if len(parts) > 2 and all(p.count(" ") < 2 for p in parts):
+        return 0.9
+    if x.count(" ") > 3:
+        return 0.4
+    near = [solid[j] for j in (k - 1, k + 1) if 0 <= j < len(solid)]
+    return 0.6 + 0.15 * sum(dense[j] or (not sentence[j] and flat[j].count(" ") < 4) for j in near)
+
+
+def _contained(flat: list[str], sentence: list[bool], share: list[float], solid: list[int], top: int) -> list[bool]:
+    """For each non-blank line: whether it lies in the main container or its siblings.
+
+    Blocks are runs of lines on one side of density 0.5, sections the blocks between those of density
+    1; a block's discounted points go in full to the block, by half to its section, by a quarter to the page.
+    """
+    blocks: list[list[int]] = []
+    for k, s in enumerate(share):
+        if not k or (s >= 0.5) != (share[k - 1] >= 0.5):
+            blocks.append([])
+        blocks[-1].append(k)
+    points, section = [], []
+    at = 0
+    for b in blocks:
+        size = sum(len(flat[solid[k]]) for k in b)
+        density = sum(len(flat[solid[k]]) * share[k] for k in b) / size
+        raw = sum(1 + flat[solid[k]].count(",") + min(len(flat[solid[k]]) / 100, 3) for k in b if sentence[solid[k]] or len(flat[solid[k]]) > 60)
+        at += density == 1
+        points.append(raw * (1 - density))
+        section.append(at)
+    kept = [True] * len(share)
+    if not any(points):
+        return kept
+    of_section: dict[int, float] = {}
+    for p, s in zip(points, section):
+        of_section[s] = of_section.get(s, 0) + p / 2
+    page = sum(points) / 4
+    best = max(points)
+    home = section[points.index(best)]
+    # the container: the block, or the section or page around it when that gathers more
+    widest = max((best, 0), (of_section[home], 1), (page, 2))[1]
+    inside = [widest == 2 or s == home and (widest == 1 or p == best) for p, s in zip(points, section)]
+    near = [n for n, p in enumerate(points) if p > SIBLING * best or any(solid[k] == top for k in blocks[n]) or (inside[n] and share[blocks[n][0]] < 0.5)]
+    for n, b in enumerate(blocks):
+        heading = n > near[0] and share[b[0] - 1] < 0.5 and share[b[0]] < 1 and (len(b) == 1 or share[b[1]] == 1)
+        if not near[0] <= n <= near[-1] and share[b[0]] >= 0.5 and not heading:
+            for k in b:
+                kept[k] = False  # labels outside the span of the container and its siblings
+    return kept
+
+
 def body_mask(lines: list[str], title: str | None) -> list[bool | None]:
     """For each line of a page: None if blank, True if main body, False if not."""
     flat = [" ".join(x.split()) for x in lines]
@@ -179,7 +246,7 @@ def body_mask(lines: list[str], title: str | None) -> list[bool | None]:
         if low[i] in POINTERS:
             dense[i] = True
             nxt = at + 1
-            while nxt < len(solid) and nxt - at <= 8:
+            while nxt < len(solid):
                 j = solid[nxt]
                 if dense[j] or low[j] in POINTERS or (sentence[j] and not _TEASER.match(low[j])):
                     break
@@ -196,30 +263,11 @@ def body_mask(lines: list[str], title: str | None) -> list[bool | None]:
             flow = -2 if _END.search(flat[i]) else i
         elif PROSE.match(low[i]) and len(flat[i]) >= 50 and not _END.search(flat[i]):
             flow = i
-    # points of the lines, passed to their blocks, discounted by link density
-    blocks: list[list[int]] = []
-    for k, i in enumerate(solid):
-        if not blocks or dense[i] != dense[solid[k - 1]]:
-            blocks.append([])
-        blocks[-1].append(i)
-    points = []
-    for b in blocks:
-        density = sum(len(flat[i]) for i in b if dense[i]) / sum(len(flat[i]) for i in b)
-        raw = sum(1 + flat[i].count(",") + min(len(flat[i]) / 100, 3) for i in b if sentence[i] or len(flat[i]) > 60)
-        points.append(raw * (1 - density))
-    keep = [False] * len(blocks)
-    if points and max(points) > 0:
-        best = points.index(max(points))
-        share = 0.02 * points[best]
-        first = min(k for k, p in enumerate(points) if p > share or any(i == top for i in blocks[k]))
-        for k in range(first, len(blocks)):  # siblings: behind the first block with points, not made of links
-            keep[k] = not dense[blocks[k][0]]
-    else:
-        keep = [True] * len(blocks)
     out: list[bool | None] = [None] * len(lines)
-    for k, b in enumerate(blocks):
-        for i in b:
-            out[i] = keep[k] and not dense[i] and (top < 0 or i >= top)
+    share = [0.0 if i == top else _density(flat, sentence, dense, solid, k) for k, i in enumerate(solid)]
+    kept = _contained(flat, sentence, share, solid, top)
+    for k, i in enumerate(solid):
+        out[i] = kept[k] and not dense[i] and (top < 0 or i >= top)
     return out
 
 

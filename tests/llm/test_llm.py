@@ -240,6 +240,21 @@ def test_main_body_without_sentences():
     assert body_mask(cut, "A title") == [True, True, False, False]
 
 
+def test_main_body_of_unknown_wording():
+    """No line of furniture here is a fixed phrase: density, container and siblings decide."""
+    prose = "The index keeps its promises, most of the time, and its authors know why it does not."
+    page = ["Zorba | Quixo | Plimm", "Fennel", "Grubble", prose, "Hints", prose, "* sparse list Rome", "Wibble", "Fennel", "Grubble", "Zorba | Quixo | Plimm"]
+    assert body_mask(page, None) == [False] * 3 + [True] * 4 + [False] * 4
+    assert body_mask(["A title at Rome", *page[3:]], "A title at Rome") == [True] * 5 + [False] * 4
+    assert body_mask(["Home", "A title about the quiet index at Rome", "By Ada Byron, 3/4/2021", prose], None) == [False, True, False, True]
+
+
+def test_main_body_long_list_of_pointers():
+    titles = [f"Another index beyond reach at Paris {n}" for n in range(12)]
+    prose = "The index keeps its promises, most of the time, and its authors know why it does not."
+    assert body_mask(["A title", prose, "Keep reading", *titles], "A title") == [True, True] + [False] * 13
+
+
 # --- problem 5 -----------------------------------------------------------------------------------
 
 
