@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ REPEATED = "vector vector crawler"
 COMMON = "the index unheardofterm"
 K = 10
 VECTOR_QUERIES = 5
+#: `vector_topk_all` asks every row whose id this divides.
+VECTOR_STEP = 100
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -128,12 +131,24 @@ def vector_measures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _nearest(rows: DataFrame, asked: list) -> DataFrame:
+    near = nearest_many(rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), asked, K, "bigint")
+    best = near.withColumn("r", F.expr("row_number() over (partition by query_id order by score desc, doc_id)")).where(F.col("r") <= K)
+    return best.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("r").cast("bigint").alias("r"), F.round("score", 4).alias("score"), F.col("doc_id").alias("vec_id"))
+
+
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of the first few rows only, as its SQL twin has it."""
     rows = _table(spark, d, "embeddings").where("embedding is not null")
     asked = [(r["vec_id"], r["embedding"]) for r in rows.orderBy("vec_id").limit(VECTOR_QUERIES).collect()]
-    near = nearest_many(rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), asked, K, "bigint")
-    best = near.withColumn("r", F.expr("row_number() over (partition by query_id order by score desc, doc_id)")).where(F.col("r") <= K)
-    return best.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("r").cast("bigint").alias("r"), F.round("score", 4).alias("score"))
+    return _nearest(rows, asked).drop("vec_id")
+
+
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of every row whose id is divisible by 100, over all rows; the queries pass through the driver as arrays."""
+    rows = _table(spark, d, "embeddings").where("embedding is not null")
+    asked = rows.where(F.col("vec_id") % VECTOR_STEP == 0).select("vec_id", "embedding")
+    return _nearest(rows, [(r["vec_id"], np.array(r["embedding"], np.float32)) for r in asked.toLocalIterator()])
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -242,6 +257,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ann_topk": ann_topk,
         "vector_measures": vector_measures,
         "vector_topk": vector_topk,
+        "vector_topk_all": vector_topk_all,
         "hybrid_topk": hybrid_topk,
         "hybrid_exact": hybrid_exact,
         "search_results": search_results,
@@ -428,6 +444,11 @@ SELECT vec_id, round(list_dot_product(x, y), 4) AS dot, round(sqrt(list_dot_prod
 q AS (SELECT * FROM v ORDER BY vec_id LIMIT {VECTOR_QUERIES}),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.x, v.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(v.x, v.x))), 6) AS score FROM q CROSS JOIN v)
 SELECT query_id, r, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= {K}""",
+        "vector_topk_all": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v),
+s AS (SELECT q.vec_id AS query_id, n.vec_id, round(CASE WHEN q.norm * n.norm = 0 THEN 0 ELSE list_dot_product(q.x, n.x) / (q.norm * n.norm) END, 6) AS score
+  FROM n q CROSS JOIN n WHERE q.vec_id % {VECTOR_STEP} = 0)
+SELECT query_id, r, round(score, 4) AS score, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= {K}""",
         "hybrid_topk": f"WITH {_ann_sql(QUERY)}, {_lex(QUERY)}, {_FUSED} SELECT doc_id, score FROM top",
         "hybrid_exact": f"WITH {_EXACT}, {_lex(QUERY)}, {_FUSED} SELECT doc_id, score FROM top",
         "search_results": f"""WITH {_ann_sql(QUERY)}, {_lex(QUERY)}, {_FUSED}

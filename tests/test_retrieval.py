@@ -6,6 +6,7 @@ import math
 import threading
 import urllib.request
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from larkspur.operators.index import LexicalIndex, from_texts, latest
 from larkspur.operators.metrics import Registry, labelled_counts, latency_histogram
 from larkspur.operators.rank import bm25, query_tokens, ranked
 from larkspur.operators.semantic import SemanticIndex, embed_query, planes
+from larkspur.plans import catalog
 from larkspur.plans.api import answer, make_server, query_param
 
 SCHEMA = "doc_id string, url string, title string, content string, tokens array<string>"
@@ -136,6 +138,21 @@ def test_nearest(spark, query, k):
     assert [tuple(r) for r in index.query(query, k, exact=True).collect()] == order(cos, k)
 
 
+def test_vector_topk_all(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((901, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1100, [0.0] * 8)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = collections.defaultdict(list)
+    for r in catalog.queries()["vector_topk_all"](spark, str(tmp_path)).orderBy("query_id", "r").collect():
+        got[r.query_id].append(r.vec_id)
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert sorted(got) == [*range(0, 901, 100), 1100]
+    for q in range(0, 901, 100):
+        score = np.round(y @ y[q], 6)
+        assert got[q] == sorted(range(901), key=lambda i: (-score[i], i))[:10]
+
+
 def test_hybrid_and_many(spark):
     docs = documents(spark)
     service = SearchService(LexicalIndex.build(docs), SemanticIndex.build(docs))
