@@ -60,15 +60,15 @@ class SemanticParams:
 
 @dataclass(frozen=True)
 class CrawlParams:
-    """Parameters of a crawl; zero or less means the default."""
+    """Parameters of a crawl; zero or less means the default, None for max_pages no budget."""
 
     workers: int = 4
     politeness: float = 0.05
-    max_pages: int = 100
+    max_pages: int | None = 100
 
     def __post_init__(self) -> None:
         for name, default in (("workers", 4), ("politeness", 0.05), ("max_pages", 100)):
-            if getattr(self, name) <= 0:
+            if (value := getattr(self, name)) is not None and value <= 0:
                 object.__setattr__(self, name, default)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SemanticParams
+from ..config import CrawlParams, SemanticParams
 from ..functions import html as H
 from ..functions.text import document_id, fnv1a, snippet, tokenize
 from ..functions.vector import cosine, dot, magnitude
@@ -21,7 +21,7 @@ from ..operators.semantic import SemanticIndex, embed_query, embeddings, nearest
 from ..sources.files import decode_messages, encode_messages, from_table, parse_pages
 from ..sources.sinks import snapshot_rows
 from ..streaming.updater import IndexUpdater
-from .crawl import next_frontier
+from .crawl import crawl, next_frontier
 
 PARAMS = SemanticParams()
 QUERY = "stale index shard"
@@ -203,6 +203,23 @@ def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     return next_frontier(parse_pages(got, "url", "body").select(F.explode("links").alias("url")), seeds, 1000)
 
 
+def crawl_all(spark: SparkSession, d: str) -> DataFrame:
+    """Level by level from every page of the table, without a budget: all urls taken up, and whether they were found."""
+    pages = _table(spark, d, "pages").where("url is not null and url <> ''")
+    got = crawl(pages.select("url"), from_table(pages), CrawlParams(max_pages=None))
+    found = got.documents.select("url", "depth", F.lit(True).alias("found"))
+    return found.unionByName(got.errors.select("url", "depth", F.lit(False).alias("found")))
+
+
+def crawl_sites(spark: SparkSession, d: str) -> DataFrame:
+    """As `crawl_all`, from the first url of each host only, so that the other pages are reached by links or not at all."""
+    pages = _table(spark, d, "pages").where("url is not null and url <> ''")
+    seeds = pages.groupBy(F.regexp_extract("url", "^[a-z]+://[^/]*", 0)).agg(F.min("url").alias("url"))
+    got = crawl(seeds.select("url"), from_table(pages), CrawlParams(max_pages=None))
+    found = got.documents.select("url", "depth", F.lit(True).alias("found"))
+    return found.unionByName(got.errors.select("url", "depth", F.lit(False).alias("found")))
+
+
 def snapshot_export(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_rows(with_lengths(_docs(spark, d)))
 
@@ -269,6 +286,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_links": page_links,
         "page_link_counts": page_link_counts,
         "crawl_frontier": crawl_frontier,
+        "crawl_all": crawl_all,
+        "crawl_sites": crawl_sites,
         "snapshot_export": snapshot_export,
         "json_roundtrip": json_roundtrip,
         "stream_index": stream_index,
@@ -413,6 +432,18 @@ rows AS (SELECT page_id, url, unnest(hs) AS href, unnest(range(1, len(hs) + 1))
 links AS (SELECT page_id, url, n, {_RESOLVED} AS link FROM rows)"""
 
 
+def _crawl_sql(seeds: str) -> str:
+    return f"""WITH RECURSIVE bodies AS (SELECT url, max(coalesce(html, '')) AS html FROM pages WHERE url <> '' GROUP BY url),
+raw AS (SELECT url, {_HREFS} AS hs FROM bodies),
+rows AS (SELECT url, unnest(hs) AS href FROM raw),
+links AS (SELECT DISTINCT url, {_RESOLVED} AS link FROM rows),
+seeds AS ({seeds}),
+edges AS (SELECT url, link FROM links WHERE link <> ''),
+reach(url, depth) AS (SELECT url, 0 FROM seeds UNION
+  SELECT link, depth + 1 FROM reach JOIN edges USING (url) WHERE depth < (SELECT count(*) FROM bodies))
+SELECT url, min(depth) AS depth, url IN (SELECT url FROM bodies) AS found FROM reach GROUP BY url"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "tokenize_docs": f"WITH {_LEN} SELECT doc_id, tokens FROM lens",
@@ -466,6 +497,8 @@ raw AS (SELECT url, {_HREFS} AS hs FROM seeds JOIN bodies USING (url)),
 rows AS (SELECT url, unnest(hs) AS href FROM raw),
 links AS (SELECT DISTINCT {_RESOLVED} AS link FROM rows)
 SELECT link AS url FROM links WHERE link <> '' AND link NOT IN (SELECT url FROM seeds) ORDER BY link LIMIT 1000""",
+        "crawl_all": _crawl_sql("SELECT url FROM bodies"),
+        "crawl_sites": _crawl_sql("SELECT min(url) AS url FROM bodies GROUP BY regexp_extract(url, '^[a-z]+://[^/]*', 0)"),
         "snapshot_export": f"WITH {_LEN} SELECT doc_id AS id, url, title, tokens, content FROM lens",
         "json_roundtrip": f"WITH {_DOCS} SELECT doc_id, url, content, '0001-01-01T00:00:00Z' AS fetched_at FROM docs",
         "stream_index": f"WITH {_POST} SELECT term, df FROM stats",

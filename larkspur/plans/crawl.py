@@ -24,10 +24,11 @@ class CrawlResult:
     seconds: float
 
 
-def next_frontier(links: DataFrame, visited: DataFrame, budget: int) -> DataFrame:
-    """New distinct urls of `links` (url), in order of url and no more than the budget."""
+def next_frontier(links: DataFrame, visited: DataFrame, budget: int | None) -> DataFrame:
+    """New distinct urls of `links` (url), in order of url and no more than the budget; all of them, unordered, without one."""
     fresh = links.select("url").where("url is not null and url <> ''").distinct()
-    return fresh.join(visited.select("url"), "url", "left_anti").orderBy("url").limit(max(budget, 0))
+    new = fresh.join(visited.select("url"), "url", "left_anti")
+    return new if budget is None else new.orderBy("url").limit(max(budget, 0))
 
 
 def crawl(seeds: DataFrame, resolve: Resolve | None = None, params: CrawlParams = CrawlParams()) -> CrawlResult:
@@ -52,7 +53,7 @@ def crawl(seeds: DataFrame, resolve: Resolve | None = None, params: CrawlParams
         documents = parsed if documents is None else documents.unionByName(parsed)
         errors = failed if errors is None else errors.unionByName(failed)
         found = parsed.select(F.explode("links").alias("url"))
-        frontier = cut(next_frontier(found, visited, params.max_pages - taken))
+        frontier = cut(next_frontier(found, visited, None if params.max_pages is None else params.max_pages - taken))
         new = frontier.count()
         taken += new
         depth += 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.config import CrawlParams
 from larkspur.operators.index import LexicalIndex
+from larkspur.plans import catalog
 from larkspur.plans.crawl import crawl
 from larkspur.sources.files import decode_messages, encode_messages, fetching, from_table, load_snapshot, local_seeds, message_stream, read_files, try_load_snapshot
 from larkspur.sources.sinks import write_messages, write_snapshot
@@ -38,6 +39,16 @@ def test_crawl_budget(spark, budget, titles):
     assert sorted(r.title for r in got.documents.collect()) == titles and got.pages == budget
 
 
+def test_crawl_without_budget(spark, tmp_path):
+    """Every page is a seed whatever its id, and no number of links is cut: 1,200 links of one page, 150 pages."""
+    links = "".join(f"<a href='x{i}'>x</a>" for i in range(1200))
+    rows = [(i, f"file:///g/p{i}", links if i == 3 else f"<a href='p{i + 1}'>x</a>") for i in range(150)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.url: (r.depth, r.found) for r in catalog.queries()["crawl_all"](spark, str(tmp_path)).collect()}
+    want = {f"file:///g/p{i}": (0, True) for i in range(150)} | {f"file:///g/{x}": (1, False) for x in ["p150", *(f"x{i}" for i in range(1200))]}
+    assert got == want
+
+
 def test_crawl_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<title>A</title><a href='b.html'>b</a> text")
     (tmp_path / "b.html").write_text("<title>B</title><a href='a.html'>a</a><a href='no.html'>n</a>")
