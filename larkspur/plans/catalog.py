@@ -120,7 +120,13 @@ def ann_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_measures(spark: SparkSession, d: str) -> DataFrame:
-    v = _table(spark, d, "embeddings").where("vec_id % 2 = 0").select("vec_id", "embedding")
+    """Each row of even id with its successor, as its SQL twin has it."""
+    return _measures(spark, d).where("vec_id % 2 = 0")
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its successor by id."""
+    v = _table(spark, d, "embeddings").select("vec_id", "embedding")
     w = _table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
     both = v.join(w, "vec_id")
     return both.select(
@@ -273,6 +279,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cosine_topk_exact": cosine_topk_exact,
         "ann_topk": ann_topk,
         "vector_measures": vector_measures,
+        "vector_measures_all": _measures,
         "vector_topk": vector_topk,
         "vector_topk_all": vector_topk_all,
         "hybrid_topk": hybrid_topk,
@@ -469,6 +476,10 @@ FROM docs LEFT JOIN (SELECT doc_id, map(list(dim), list(w)) AS m FROM sparse GRO
         "ann_topk": f"WITH {_ann_sql(QUERY)} SELECT doc_id, score FROM near",
         "vector_measures": """WITH v AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)) AS x, list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)) AS y
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
+SELECT vec_id, round(list_dot_product(x, y), 4) AS dot, round(sqrt(list_dot_product(x, x)), 4) AS norm,
+  round(CASE WHEN list_dot_product(x, x) * list_dot_product(y, y) = 0 THEN 0 ELSE list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) END, 4) AS cosine FROM v""",
+        "vector_measures_all": """WITH v AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)) AS x, list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)) AS y
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(list_dot_product(x, y), 4) AS dot, round(sqrt(list_dot_product(x, x)), 4) AS norm,
   round(CASE WHEN list_dot_product(x, x) * list_dot_product(y, y) = 0 THEN 0 ELSE list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) END, 4) AS cosine FROM v""",
         "vector_topk": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),

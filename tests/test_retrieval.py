@@ -153,6 +153,12 @@ def test_vector_topk_all(spark, tmp_path):
         assert got[q] == sorted(range(901), key=lambda i: (-score[i], i))[:10]
 
 
+def test_vector_measures_all(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in (0, 1, 2, 3, 5)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.dot for r in catalog.queries()["vector_measures_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 1: 3.0, 2: 7.0}
+
+
 def test_hybrid_and_many(spark):
     docs = documents(spark)
     service = SearchService(LexicalIndex.build(docs), SemanticIndex.build(docs))
