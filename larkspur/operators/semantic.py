@@ -144,9 +144,14 @@ class SemanticIndex:
         fill = self.vectors.orderBy("doc_id").limit(max(5 * k - b, 0))
         return bucket.unionByName(fill).dropDuplicates(["doc_id"])
 
-    def query(self, query: str, k: int = 10, exact: bool = False) -> DataFrame:
-        """(doc_id, score) by cosine, best first; exact scores all documents. k <= 0 keeps all."""
-        rows = self.vectors if exact else self.candidates(query, k)
+    def probed(self, query: str, radius: int) -> DataFrame:
+        """Vectors of all buckets whose signature differs from the query's in at most `radius` bits."""
+        bits = F.conv("sig", 2, 10).cast("bigint").bitwiseXOR(F.lit(int(self.query_signature(query), 2)).cast("bigint"))
+        return self.vectors.where(F.bit_count(bits) <= radius)
+
+    def query(self, query: str, k: int = 10, exact: bool = False, radius: int | None = None) -> DataFrame:
+        """(doc_id, score) by cosine, best first; exact scores all documents, a radius the buckets within it. k <= 0 keeps all."""
+        rows = self.vectors if exact else self.candidates(query, k) if radius is None else self.probed(query, radius)
         return ranked(rows.select("doc_id", cosine_to(F.col("vec"), F.col("norm"), embed_query(query, self.params.dimension)).alias("score")), k)
 
 

@@ -31,6 +31,8 @@ K = 10
 VECTOR_QUERIES = 5
 #: `vector_topk_all` asks every row whose id this divides.
 VECTOR_STEP = 100
+#: Bits of a signature that `ann_topk_probed` lets differ.
+RADIUS = 11
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -119,6 +121,10 @@ def ann_topk(spark: SparkSession, d: str) -> DataFrame:
     return _semantic(spark, d).query(QUERY, K)
 
 
+def ann_topk_probed(spark: SparkSession, d: str) -> DataFrame:
+    return _semantic(spark, d).query(QUERY, K, radius=RADIUS)
+
+
 def vector_measures(spark: SparkSession, d: str) -> DataFrame:
     """Each row of even id with its successor, as its SQL twin has it."""
     return _measures(spark, d).where("vec_id % 2 = 0")
@@ -278,6 +284,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lsh_buckets": lsh_buckets,
         "cosine_topk_exact": cosine_topk_exact,
         "ann_topk": ann_topk,
+        "ann_topk_probed": ann_topk_probed,
         "vector_measures": vector_measures,
         "vector_measures_all": _measures,
         "vector_topk": vector_topk,
@@ -362,6 +369,11 @@ cos AS (SELECT norms.doc_id, CASE WHEN norm * {length!r} = 0 THEN 0 ELSE coalesc
   FROM norms LEFT JOIN (SELECT doc_id, CAST(sum(w * qw) AS BIGINT) AS s FROM sparse JOIN qvec USING (dim) GROUP BY doc_id) p USING (doc_id))"""
 
 
+def _signature(query: str) -> str:
+    v = embed_query(query, PARAMS.dimension)
+    return "".join("1" if sum(a * b for a, b in zip(v, p)) >= 0 else "0" for p in planes(PARAMS))
+
+
 def _ann_sql(query: str) -> str:
     v = embed_query(query, PARAMS.dimension)
     sig = "".join("1" if sum(a * b for a, b in zip(v, p)) >= 0 else "0" for p in planes(PARAMS))
@@ -474,6 +486,8 @@ FROM docs LEFT JOIN (SELECT doc_id, map(list(dim), list(w)) AS m FROM sparse GRO
         "lsh_buckets": f"WITH {_sig_sql()} SELECT sig, count(*) AS docs FROM sigs GROUP BY sig",
         "cosine_topk_exact": f"WITH {_EXACT} SELECT doc_id, score FROM near",
         "ann_topk": f"WITH {_ann_sql(QUERY)} SELECT doc_id, score FROM near",
+        "ann_topk_probed": f"""WITH {_sig_sql()}, {_qvec_sql(QUERY)}
+SELECT doc_id, round(score, 6) AS score FROM sigs JOIN cos USING (doc_id) WHERE hamming(sig, '{_signature(QUERY)}') <= {RADIUS} ORDER BY score DESC, doc_id LIMIT {K}""",
         "vector_measures": """WITH v AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)) AS x, list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)) AS y
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
 SELECT vec_id, round(list_dot_product(x, y), 4) AS dot, round(sqrt(list_dot_product(x, x)), 4) AS norm,

@@ -3,6 +3,7 @@
 import collections
 import json
 import math
+import os
 import threading
 import urllib.request
 
@@ -159,6 +160,15 @@ def test_vector_measures_all(spark, tmp_path):
     assert got == {0: 1.0, 1: 3.0, 2: 7.0}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_recall_of_probes(spark):
+    """At least 9 of the 10 nearest by brute force, of 10,000 documents."""
+    index = SemanticIndex.build(from_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))).vectors.cache()
+    index = SemanticIndex(index, SemanticParams())
+    best = {r.doc_id for r in index.query(catalog.QUERY, 10, exact=True).collect()}
+    assert len(best & {r.doc_id for r in index.query(catalog.QUERY, 10, radius=catalog.RADIUS).collect()}) >= 9
+
+
 def test_hybrid_and_many(spark):
     docs = documents(spark)
     service = SearchService(LexicalIndex.build(docs), SemanticIndex.build(docs))
