@@ -10,7 +10,7 @@ Which shards: a vantage point cannot cut the collection as a whole at these thre
 fingerprints lie 91 +- 7 bits of 192 apart, the radius for J >= 0.5 is 75, so d(x, v) says nothing
 about which far branch to skip, and every boundary strip would hold all points.  So a fingerprint's
 shards are given by bands of `ROWS` of its minima (`HASHES / ROWS` overlapping shards a text), which
-lose a pair of J = 0.6 with probability 1e-4 and of J = 0.7 with 2e-8, whatever the collection's size.
+lose a pair of J = 0.5 with probability 1.6e-2, of 0.55 with 2e-3, of 0.6 with 1e-4 and of 0.7 with 2e-8, whatever the collection's size.
 The trees do the work inside the shards.
 
 A shard of more than `LIMIT` texts is split into blocks, and each pair of blocks is one task's tree
