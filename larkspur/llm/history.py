@@ -1,33 +1,33 @@
 """Deduplicating new batches against all history (problem 5).
 
-Method: an incremental inverted index of rare-token prefixes.  The tokens of a text are its distinct
-word shingles, put in a fixed order, rarest first.  Two texts with similarity t or more share a token
-among the first n - ceil(t * n) + 1 of each, so only these prefixes are indexed.  The index is a table
-of segments of up to `SEGMENT` texts; a segment holds its postings partitioned by token: the sorted
-tokens, and for each the texts that have it.  A batch probes every segment with its own prefixes,
-drops pairs whose lengths exclude the similarity, those that share too few prefix tokens to reach it
-and those whose parity bits differ too often (the tokens folded onto `PARITY` bits by exclusive or:
-each differing bit proves a differing token), and verifies the overlap of the rest on the whole texts.  What is accepted is appended: its texts
-and its segments, in folders of the batch, which a repeated run overwrites.  History is never
-processed again.
-
-Why segments: a posting list cut across tasks by token leaves the counts of a pair in many tasks, and
-texts of few words share tokens with most texts of their language; their partial counts would all be
-shuffled.  Within a segment a pair's count is complete, so only pairs that can reach the threshold
-leave the task, and probing shuffles nothing.
-
-The order needs no table of all tokens: a token's rarity is read from a sketch of `CELLS` counters
-(up to 255) that counted all of the history when the index was made, and ties go by hash.  Any fixed
-order keeps the prefix rule exact; the sketch only decides how selective the prefixes are.  Its size
-is fixed; about a tenth of the history's tokens in cells keeps boilerplate out of the prefixes.
-
-Within a batch a row can repeat an earlier row.  Pairs within the batch are found in the same way, in
-segments of the batch itself.  They are settled in order of the rows by one task if they are fewer
-than `SETTLE_ROWS`, counted first; beyond that in rounds: rows without an undecided earlier partner
+Method: an incremental inverted index of rare-token prefixes, partitioned by token.  The tokens of a
+text are its distinct word shingles, put in a fixed order, rarest first.  Two texts with similarity t
+or more share a token among the first n - ceil(t * n) + 1 of each, so only these prefixes are indexed.
+Postings (token, text, number of its tokens, place in its order) lie in token ranges: one folder and
+one bucket for each hash range of tokens, sorted by token.  A batch
+
+* reads the ranges that hold its own prefix tokens, and joins them in place with its prefixes, without a
+  shuffle of the history;
+* drops a match unless the lengths allow the similarity and the tokens behind the place of the match on
+  either side can still make up the overlap (a pair's first shared token always passes);
+* drops a pair whose parity bits differ too often (the tokens folded onto `PARITY` bits by exclusive or:
+  each differing bit proves a differing token);
+* verifies the overlap of the rest on the whole texts, read from the parts of the text store that hold them;
+* appends what is accepted to texts, bits and postings, in folders of the batch, which a repeated run
+  overwrites.
+
+The order needs no table of all tokens: a token's rarity is read from a sketch of counters on a
+logarithmic scale that counted all of the history when the index was made; ties go by hash.  Any fixed
+order keeps the prefix rule exact; the sketch only decides how selective the prefixes are.  Its cells
+follow the history's size, one for about two tokens, up to `MOST_CELLS`; a counter does not saturate.
+
+Within a batch a row can repeat an earlier row.  Pairs within the batch are found by the same join of
+its prefixes with themselves.  Decisions are taken in rounds: rows without an undecided earlier partner
 are accepted, their partners are cases.
 
-Broadcasts: the sketch (a byte a cell), and the prefixes of a batch in blocks of about `PROBE_TOKENS`
-tokens, one pass over the segments each; for texts to verify, their keys if fewer than `SETTLE_ROWS`.
+Broadcasts: the sketch (a byte a cell, `MOST_CELLS` at most), and the parity bits of a batch, which is
+taken in blocks of `BLOCK` texts (9 MB) for that.  The driver gets the numbers of ranges and of text
+parts, never keys.
 
 Defined results: null, empty and blank contents and those with fewer words than a shingle are never
 cases; equal contents are one text, of which only the first row of a batch can be accepted; rows
@@ -37,142 +37,87 @@ without a sequence or batch number are left out; extra columns are ignored; empt
 from __future__ import annotations
 
 import functools
+import operator
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .near_duplicates import similarity, text_chunks
 from .storage import checkpoint_dir, cut
-from .vptree import hamming
 
-CELLS = 1 << 22
-SEGMENT = 2048
 PARITY = 1024
-PROBE_TOKENS = 2_000_000
-SETTLE_ROWS = 2_000_000
-_MATCHES = 1 << 20
-_LISTS = ["h", "n", "s", "bits", "tokens", "ends", "texts"]
-_SEGMENT = "h array<long>, n array<int>, s array<long>, bits array<long>, tokens array<long>, ends array<int>, texts array<int>"
-
-
-def prefixes(
-    text: pa.Array, width: int, threshold: float, sketch: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix tokens end to end, prefix length, number of distinct tokens and parity bits of each text)."""
-    values, first = K.shingles(*K.string_buffer(text), width)
-    n_rows = len(first) - 1
-    rarity = sketch[values & np.uint64(len(sketch) - 1)].astype(np.uint64)
-    composite = rarity << np.uint64(56) | values >> np.uint64(8)
-    row = np.repeat(np.arange(n_rows, dtype=np.int32), np.diff(first))
-    order = np.argsort(composite)
-    small = row[order].astype(np.uint16) if n_rows < 65536 else row[order]
-    order = order[np.argsort(small, kind="stable")]
-    v, r = values[order], row[order]
-    keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-    v, r = v[keep], r[keep]
-    n = np.bincount(r, minlength=n_rows)
-    length = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
-    begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-    place = r.astype(np.int64) * PARITY + (K.mix64(v) % np.uint64(PARITY)).astype(np.int64)
-    odd = (np.bincount(place, minlength=n_rows * PARITY) & 1).astype(np.uint8)
-    bits = np.packbits(odd, bitorder="little").view(np.int64)
-    return v[K.ranges(begin, length)], length, n, bits
-
-
-def segment(h: np.ndarray, n: np.ndarray, s: np.ndarray, bits: np.ndarray, prefix: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    """One row: the inverted index of the prefixes of some texts."""
-    text = np.repeat(np.arange(len(h), dtype=np.int32), length)
-    order = np.argsort(prefix)
-    token, text = prefix[order], text[order]
-    last = np.flatnonzero(np.append(token[1:] != token[:-1], True)) if len(token) else np.zeros(0, np.int64)
-    columns = (h, n.astype(np.int32), s, bits, token[last], (last + 1).astype(np.int32), text)
-    whole = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns]
-    return pa.RecordBatch.from_arrays(whole, _LISTS)
-
-
-def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of rows (h, n, s, bits, prefix), in order of arrival."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-
-    def made() -> pa.RecordBatch:
-        b = pa.concat_batches(held)
-        h, n, s = (b.column(c).to_numpy() for c in range(3))
-        bits, prefix = b.column(3).flatten().to_numpy(), b.column(4)
-        return segment(h, n, s, bits, prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy())
-
-    for batch in batches:
-        for lo in range(0, batch.num_rows, SEGMENT):
-            part = batch.slice(lo, SEGMENT)
-            if count + part.num_rows > SEGMENT:
-                yield made()
-                held, count = [], 0
-            held.append(part)
-            count += part.num_rows
-    if count:
-        yield made()
-
-
-def _words(bits: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(bits).view(np.uint64).reshape(-1, PARITY // 64)
-
-
-class Probes:
-    """Prefixes of a block of texts, sorted by token."""
-
-    def __init__(self, h: np.ndarray, n: np.ndarray, s: np.ndarray, bits: np.ndarray, prefix: np.ndarray, length: np.ndarray):
-        of = np.repeat(np.arange(len(h), dtype=np.int32), length)
-        order = np.argsort(prefix)
-        self.h, self.n, self.s, self.token, self.of = h, n.astype(np.int64), s, prefix[order], of[order]
-        self.bits = _words(bits)
-
-    def against(self, seg: dict[str, np.ndarray], old: bool, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(texts of the segment, probes) that can have similarity t or more, earlier texts first."""
-        tokens, texts, size = seg["tokens"], seg["texts"], len(seg["h"])
-        if not len(tokens) or not len(self.token):
-            return
-        at = np.searchsorted(tokens, self.token)
-        at[at == len(tokens)] = 0
-        hit = tokens[at] == self.token
-        at, of = at[hit], self.of[hit]
-        order = np.argsort(of, kind="stable")
-        at, of = at[order], of[order]
-        begin = np.where(at > 0, seg["ends"][at - 1], 0).astype(np.int64)
-        count = seg["ends"][at] - begin
-        upto = np.concatenate([[0], np.cumsum(count)])
-        n, bits = seg["n"].astype(np.int64), _words(seg["bits"])
-        rest = lambda m: np.ceil(t * m - 1e-9)
-        i = 0
-        while i < len(of):
-            j = int(np.searchsorted(upto, upto[i] + _MATCHES, "right")) - 1
-            j = min(j, int(np.searchsorted(of, of[i] + max(1, _MATCHES // size), "left")))
-            if j < len(of):  # whole probes only
-                j = int(np.searchsorted(of, of[j], "left"))
-                if j <= i:
-                    j = int(np.searchsorted(of, of[i], "right"))
-            first = int(of[i])
-            key = np.repeat((of[i:j] - first).astype(np.int64) * size, count[i:j]) + texts[K.ranges(begin[i:j], count[i:j])]
-            shared = np.bincount(key)
-            cell = np.flatnonzero(shared)
-            q, d = first + cell // size, cell % size
-            a, b = n[d], self.n[q]
-            # of two prefixes one ends earlier in the order; a shared token that is not in both prefixes
-            # lies behind that one's end, so no more than its remaining tokens are to come
-            to_come = np.maximum(rest(a), rest(b)) - 1
-            good = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (shared[cell] + to_come >= np.ceil(t / (1 + t) * (a + b) - 1e-9))
-            if not old:
-                good &= seg["s"][d] < self.s[q]
-            d, q, most = d[good], q[good], (a + b)[good]
-            differ = hamming(bits[d], self.bits[q])
-            good = most - differ >= 2 * np.ceil(t / (1 + t) * most - 1e-9)
-            yield d[good], q[good]
-            i = j
+#: Bytes of text for a cell of the sketch (a token takes about seven), and bounds of its cells.
+CELL_BYTES, LEAST_CELLS, MOST_CELLS = 16, 1 << 16, 1 << 25
+#: Bytes of text for a range of tokens, and bounds of the ranges.
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 32_000_000, 8, 16384
+BLOCK = 1 << 16
+_SKETCH_PARTS = 64
+
+
+def _pow2(n: float) -> int:
+    return 1 << max(int(np.ceil(np.log2(max(n, 1)))), 0)
+
+
+def parity(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity bits of ragged rows of distinct tokens, as 64-bit words end to end."""
+    rows = len(first) - 1
+    place = np.repeat(np.arange(rows, dtype=np.int64), np.diff(first)) * PARITY + (K.mix64(values) % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(place, minlength=rows * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def ordered(values: np.ndarray, first: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Distinct tokens of ragged rows in the fixed order, rarest first."""
+    rarity = sketch[(values & np.uint64(len(sketch) - 1)).astype(np.int64)].astype(np.uint64)
+    by_rarity = np.argsort(rarity << np.uint64(56) | values >> np.uint64(8))
+    row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))[by_rarity]
+    small = row.astype(np.uint16) if len(first) <= 65536 else row
+    return values[by_rarity[np.argsort(small, kind="stable")]]
+
+
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _lists(values: np.ndarray, length: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+class _Ranges:
+    """A table in one folder and bucket for each hash range of its key, by batch; joins on the key read it in place."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str, columns: str, key: str, ranges: int):
+        self.spark, self.key, self.ranges = spark, key, ranges
+        self.columns = [c.split()[0] for c in columns.split(", ")]
+        self.table = f"{name}_{uuid.uuid4().hex}"
+        spark.sql(
+            f"CREATE TABLE {self.table} ({columns}, batch INT, part INT) USING parquet PARTITIONED BY (batch, part) "
+            f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {ranges} BUCKETS LOCATION '{folder}/{name}'"
+        )
+
+    def range_of(self, key: str | None = None) -> Column:
+        return F.pmod(F.hash(key or self.key), F.lit(self.ranges))
+
+    def put(self, rows: DataFrame, batch: int) -> None:
+        """Write the rows of a batch in place of what it wrote before."""
+        rows = rows.repartition(self.ranges, self.key).select(*self.columns, self.range_of().alias("part"))
+        view = f"{self.table}_{batch}"
+        rows.createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = {batch}, part) SELECT * FROM {view}")
+        self.spark.catalog.dropTempView(view)
+
+    def before(self, batch: int, parts: list[int]) -> DataFrame:
+        """What earlier batches wrote to some ranges; the folders of the others are not read."""
+        return self.spark.table(self.table).where((F.col("batch") < batch) & F.col("part").isin(parts)).select(*self.columns, "batch")
+
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 class HistoryIndex:
@@ -189,85 +134,121 @@ class HistoryIndex:
     def create(self, history: DataFrame, text: str = "content") -> None:
         """Start the index with the distinct texts of `history`."""
         texts = history.select(F.col(text).cast("string").alias("t")).where("t is not null and trim(t) <> ''").distinct()
-        self._put_texts(texts.select(F.xxhash64("t").alias("h"), "t"), 0)
-        self._count()
-        stored = self._texts().where("batch = 0").select("h", F.lit(0).cast("long").alias("s"), "t")
-        self._put_segments(self._prefixed(stored, "h long, s long"), 0)
-
-    def _count(self) -> None:
-        width, ranges, cells = self.width, 32, CELLS
-        step = cells // ranges
+        texts = texts.select(F.shiftleft(F.monotonically_increasing_id(), 1).alias("id"), "t")
+        seen = Observation()
+        self._put_texts(texts.observe(seen, F.sum(F.octet_length("t")).alias("bytes")), 0)
+        size = seen.get["bytes"] or 0
+        cells = min(max(_pow2(size / CELL_BYTES), LEAST_CELLS), MOST_CELLS)
+        ranges = min(max(-(-size // RANGE_BYTES), LEAST_RANGES), MOST_RANGES)
+        self.spark.createDataFrame([(cells, ranges)], "cells int, ranges int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/meta")
+        self._open(cells, ranges)
+        stored = self.spark.read.schema("id long, t string, part int").parquet(f"{self.folder}/texts/batch=0")
+        self._count(stored.select("id", "t"))
+        self.postings.put(self._postings(self._prefixed(stored.select("id", "t"), "id long, t string")), 0)
+
+    def open(self) -> HistoryIndex:
+        """Go on with an index that an earlier session made in this folder."""
+        cells, ranges = self.spark.read.parquet(f"{self.folder}/meta").first()
+        self._open(cells, ranges)
+        for store in (self.postings, self.forms):
+            self.spark.sql(f"ALTER TABLE {store.table} RECOVER PARTITIONS")
+        return self
+
+    def _open(self, cells: int, ranges: int) -> None:
+        self.cells = cells
+        self.postings = _Ranges(self.spark, self.folder, "postings", "token BIGINT, a BIGINT, n INT, pos INT", "token", ranges)
+        self.forms = _Ranges(self.spark, self.folder, "forms", "a BIGINT, n INT, bits ARRAY<BIGINT>", "a", ranges)
+
+    def _count(self, texts: DataFrame) -> None:
+        """One pass over the texts: their parity bits, and the sketch of all their tokens."""
+        width, cells, parts = self.width, self.cells, _SKETCH_PARTS
+        step = cells // parts
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(cells, np.int32)
             for batch in batches:
-                for part in text_chunks(batch, 0):
-                    values, _ = K.shingles(*K.string_buffer(part.column(0)), width)
+                for part in text_chunks(batch, 1):
+                    values, first = K.distinct_per_row(*K.shingles(*K.string_buffer(part.column(1)), width))
                     np.add.at(total, (values & np.uint64(cells - 1)).astype(np.int64), 1)
-            counts = np.minimum(total, 255).astype(np.uint8)
-            parts = [counts[r * step : (r + 1) * step].tobytes() for r in range(ranges)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(parts, pa.binary())], ["r", "c"])
+                    n = np.diff(first)
+                    bits = _lists(parity(values, first), np.full(len(n), PARITY // 64))
+                    none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), bits, *none], ["a", "n", "bits", "r", "c"]).filter(pa.array(n > 0))
+            squeeze = pa.Codec("zstd", compression_level=1)
+            counts = np.minimum(total, 65535).astype(np.uint16)
+            packed = [squeeze.compress(counts[r * step : (r + 1) * step].tobytes(), asbytes=True) for r in range(parts)]
+            none = pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int32()), pa.nulls(parts, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], ["a", "n", "bits", "r", "c"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
+            squeeze = pa.Codec("zstd")
             for batch in batches:
-                for r, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    one = np.frombuffer(c.as_buffer(), np.uint8).astype(np.int32)
-                    sums[r] = np.minimum(sums[r] + one, 255) if r in sums else one
+                for r, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    one = np.frombuffer(squeeze.decompress(c, step * 2, asbytes=True), np.uint16).astype(np.int64)
+                    sums[r] = sums[r] + one if r in sums else one
             for r, c in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([c.astype(np.uint8).tobytes()], pa.binary())], ["r", "c"])
+                level = np.minimum(np.round(8 * np.log2(1 + c)), 255).astype(np.uint8)  # full at 2^31
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["r", "c"])
 
-        parts = self._texts().select("t").mapInArrow(scan, "r int, c binary")
-        parts.repartition(8, "r").mapInArrow(add, "r int, c binary").write.mode("overwrite").parquet(f"{self.folder}/sketch")
+        seen = cut(texts.mapInArrow(scan, "a long, n int, bits array<long>, r int, c binary"))
+        self.forms.put(seen.where("a is not null"), 0)
+        levels = seen.where("r is not null").select("r", "c").repartitionById(parts, F.col("r"))
+        levels.mapInArrow(add, "r int, c binary").write.mode("overwrite").parquet(f"{self.folder}/sketch")
 
     def sketch(self):
-        """Broadcast of the counters; its size is fixed by `CELLS`, a byte each."""
+        """Broadcast of the counters, a byte each, `MOST_CELLS` at most."""
         if self._sketch is None:
-            cells = np.zeros(CELLS, np.uint8)
-            for row in self.spark.read.parquet(f"{self.folder}/sketch").collect():
-                step = len(row["c"])
+            cells = np.zeros(self.cells, np.uint8)
+            step = self.cells // _SKETCH_PARTS
+            for row in self.spark.read.parquet(f"{self.folder}/sketch").toLocalIterator():
                 cells[row["r"] * step : (row["r"] + 1) * step] = np.frombuffer(row["c"], np.uint8)
             self._sketch = self.spark.sparkContext.broadcast(cells)
         return self._sketch
 
-    def _prefixed(self, df: DataFrame, other: str) -> DataFrame:
-        """The rows of `df` that have a token, with n and prefix; its last column is the text."""
+    def _prefixed(self, df: DataFrame, shape: str) -> DataFrame:
+        """The rows of `df` that have a token, with n, bits and prefix; its last column is the text."""
         sketch, width, threshold = self.sketch(), self.width, self.threshold
         at = len(df.columns) - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in text_chunks(batch, at):
-                    tokens, length, n, bits = prefixes(part.column(at), width, threshold, sketch.value)
-                    to = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
-                    words = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (PARITY // 64))
-                    lists = [pa.ListArray.from_arrays(words, pa.array(bits)), pa.ListArray.from_arrays(to, pa.array(tokens.view(np.int64)))]
+                    values, first = K.distinct_per_row(*K.shingles(*K.string_buffer(part.column(at)), width))
+                    n = np.diff(first)
+                    length = prefix_length(n, threshold)
+                    prefix = ordered(values, first, sketch.value)[K.ranges(first[:-1], length)]
+                    bits = _lists(parity(values, first), np.full(len(n), PARITY // 64))
                     full = pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array(n.astype(np.int32)), *lists], [*part.schema.names, "n", "bits", "prefix"]
+                        [*part.columns, pa.array(n.astype(np.int32)), bits, _lists(prefix, length)], [*part.schema.names, "n", "bits", "prefix"]
                     )
                     yield full.filter(pa.array(n > 0))
 
-        return df.mapInArrow(run, f"{other}, t string, n int, bits array<long>, prefix array<long>")
-
-    def _put_texts(self, texts: DataFrame, batch: int) -> None:
-        texts.write.mode("overwrite").parquet(f"{self.folder}/texts/batch={batch}")
+        return df.mapInArrow(run, f"{shape}, n int, bits array<long>, prefix array<long>")
 
-    def _segments_of(self, prefixed: DataFrame) -> DataFrame:
-        return prefixed.select("h", "n", "s", "bits", "prefix").mapInArrow(segments, _SEGMENT)
+    @staticmethod
+    def _postings(prefixed: DataFrame) -> DataFrame:
+        """(token, a, n, pos) of every prefix token."""
+        return prefixed.select(F.col("id").alias("a"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "a", "n", "pos")
 
-    def _put_segments(self, prefixed: DataFrame, batch: int) -> None:
-        self._segments_of(prefixed).write.mode("overwrite").parquet(f"{self.folder}/segments/batch={batch}")
+    @staticmethod
+    def _part_of(key: str, batch: Column) -> Column:
+        """Part of the text store: the task that wrote it, for the first texts; one for each later batch."""
+        return F.when(batch == 0, F.shiftright(F.col(key), 34).cast("int")).otherwise(-batch)
 
-    def _texts(self) -> DataFrame:
-        return self.spark.read.schema("h long, t string, batch int").parquet(f"{self.folder}/texts")
+    def _put_texts(self, texts: DataFrame, batch: int) -> None:
+        texts.withColumn("part", self._part_of("id", F.lit(batch))).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/texts/batch={batch}")
 
-    def _segments(self) -> DataFrame:
-        return self.spark.read.schema(_SEGMENT + ", batch int").parquet(f"{self.folder}/segments")
+    def _texts(self, batch: int, parts: list[int]) -> DataFrame:
+        stored = self.spark.read.schema("id long, t string, batch int, part int").parquet(f"{self.folder}/texts")
+        return stored.where((F.col("batch") < batch) & F.col("part").isin(parts)).select("id", "t")
 
     def drop(self) -> None:
         """Delete the index."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for store in ("postings", "forms"):
+            if hasattr(self, store):
+                getattr(self, store).forget()
+        _delete(self.spark, self.folder)
 
     # -- batches ----------------------------------------------------------------------------
 
@@ -279,107 +260,100 @@ class HistoryIndex:
         kind = rows.schema[seq].dataType.simpleString()
         src = rows.select(F.col(seq).cast("long").alias("s"), F.col(text).cast("string").alias("t"))
         src = src.where("s is not null and t is not null and trim(t) <> ''")
-        classes = src.groupBy("t").agg(F.min("s").alias("s"))
-        own = cut(self._prefixed(classes.select("s", F.xxhash64("t").alias("h"), "t"), "s long, h long"))
-        pairs = self._probe(own, batch)
-        n_pairs = pairs.count()
-        edges = self._verify(pairs, own, batch, n_pairs <= SETTLE_ROWS)
-        cases = cut(self._settle_at_once(edges) if n_pairs <= SETTLE_ROWS else self._settle(cut(edges)))
-        repeats = src.select(F.col("s").alias(seq), F.xxhash64("t").alias("h")).join(own.select("h", "s"), "h")
-        repeats = repeats.where(F.col(seq) > F.col("s")).select(seq)
-        found = own.join(cases, "h", "left_semi").select(F.col("s").alias(seq)).unionByName(repeats)
-        fresh = own.join(cases, "h", "left_anti")
-        self._put_texts(fresh.select("h", "t"), batch)
-        self._put_segments(fresh, batch)
-        return found.select(F.col(seq).cast(kind).alias(seq))
+        classes = src.groupBy("t").agg(F.min("s").alias("s")).select(F.shiftleft("s", 1).bitwiseOR(F.lit(1)).alias("id"), "s", "t")
+        own = cut(self._prefixed(classes, "id long, s long, t string"))
+        cases = self._settle(self._verify(self._probe(own, batch), own, batch))
+        repeats = src.join(own.select(F.col("s").alias("first"), "t"), "t").where("s > first").select("s")
+        found = own.join(cases, "id", "left_semi").select("s").unionByName(repeats)
+        fresh = own.join(cases, "id", "left_anti")  # read three times, each time a small anti-join
+        with ThreadPoolExecutor(3) as pool:
+            done = [
+                pool.submit(self._put_texts, fresh.select("id", "t"), batch),
+                pool.submit(self.forms.put, fresh.select(F.col("id").alias("a"), "n", "bits"), batch),
+                pool.submit(self.postings.put, self._postings(fresh), batch),
+            ]
+        for d in done:
+            d.result()
+        return found.select(F.col("s").cast(kind).alias(seq))
+
+    def _can_reach(self, one: tuple[Column, Column], two: tuple[Column, Column]) -> Column:
+        """Whether a match at these (size, place) can be the first shared token of a pair that reaches the threshold."""
+        (n, i), (m, j) = one, two
+        t = self.threshold
+        need = F.ceil(F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9))
+        return (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - F.lit(1e-9)) & (F.least(n - i, m - j) >= need)
 
     def _probe(self, own: DataFrame, batch: int) -> DataFrame:
-        """(a, b, sb, old): pairs of an earlier and a new text that can reach the threshold."""
-        stored = self._segments().where(F.col("batch") < batch)  # a repeated run does not see itself
-        every = stored.select(*_LISTS, F.lit(True).alias("old")).unionByName(
-            self._segments_of(own).select(*_LISTS, F.lit(False).alias("old"))
-        )
-        tokens = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        blocks = -(-tokens // PROBE_TOKENS)
-        threshold = self.threshold
-        shape = "a long, b long, sb long, old boolean"
+        """(a, b, old, part): pairs of an earlier and a new text that can reach the threshold, and where a lies."""
+        t = self.threshold
+        mine = self._postings(own)
+        parts = [r[0] for r in mine.select(self.postings.range_of()).distinct().collect()]  # numbers of ranges
+        blocks = -(-own.count() // BLOCK)
+        earlier = self.postings.before(batch, parts)
+        forms = self.forms.before(batch, list(range(self.forms.ranges)))
+        theirs = own.select(F.col("id").alias("a"), "n", "bits", F.lit(batch).alias("batch"))
         found = []
         for block in range(blocks):
-            mine = own.where(F.pmod(F.col("h"), F.lit(blocks)) == block).select("h", "n", "s", "bits", "prefix").toArrow()
-            bits, lists = (mine.column(c).combine_chunks() for c in ("bits", "prefix"))
-            plain = (mine.column(c).to_numpy() for c in ("h", "n", "s"))
-            probes = Probes(*plain, bits.flatten().to_numpy(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
-            sent = self.spark.sparkContext.broadcast(probes)
-
-            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                probes = sent.value
-                for rows in batches:
-                    for i in range(rows.num_rows):
-                        row = rows.slice(i, 1)
-                        seg = {c: row.column(c).flatten().to_numpy() for c in _LISTS}
-                        old = row.column("old")[0].as_py()
-                        for d, q in probes.against(seg, old, threshold):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(seg["h"][d]), pa.array(probes.h[q]), pa.array(probes.s[q]), pa.array(np.full(len(d), old))],
-                                ["a", "b", "sb", "old"],
-                            )
-
-            found.append(cut(every.mapInArrow(run, shape)))
-            sent.destroy()
-        return functools.reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], shape)
-
-    def _verify(self, pairs: DataFrame, own: DataFrame, batch: int, few: bool) -> DataFrame:
-        wanted = pairs.where("old").select(F.col("a").alias("h")).distinct()
-        stored = self._texts().where(F.col("batch") < batch).select("h", "t")
-        stored = stored.join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
-        left = stored.select(F.col("h").alias("a"), F.col("t").alias("ta"), F.lit(True).alias("old")).unionByName(
-            own.select(F.col("h").alias("a"), F.col("t").alias("ta"), F.lit(False).alias("old"))
-        )
-        right = own.select(F.col("h").alias("b"), F.col("t").alias("tb"))
-        both = pairs.join(left, ["a", "old"]).join(right, "b").select("a", "b", "sb", "old", "ta", "tb")
+            one_block = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+            probes = self._postings(one_block).select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))
+            match = self._can_reach((F.col("n"), F.col("pos")), (F.col("m"), F.col("at")))
+            old = earlier.join(probes.hint("shuffle_hash"), "token").where(match).select("a", "b")
+            new = mine.join(probes, "token").where(match & (F.col("a") < F.col("b"))).select("a", "b")
+            sent = F.broadcast(one_block.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("own")))  # BLOCK rows at most
+            differ = functools.reduce(operator.add, (F.bit_count(F.col("bits")[w].bitwiseXOR(F.col("own")[w])) for w in range(PARITY // 64)))
+            most = F.col("n") + F.col("m")
+            alike = most - differ >= 2 * F.ceil(F.lit(t / (1 + t)) * most - F.lit(1e-9))
+            for pairs, held, is_old in ((old, forms, True), (new, theirs, False)):
+                pairs = pairs.repartition(self.forms.ranges, "a").distinct()
+                kept = held.join(pairs.hint("shuffle_hash"), "a").join(sent, "b").where(alike)
+                part = self._part_of("a", F.col("batch"))
+                found.append(kept.select("a", "b", F.lit(is_old).alias("old"), part.alias("part")))
+        shape = "a long, b long, old boolean, part int"
+        return cut(functools.reduce(DataFrame.unionByName, found)) if found else self.spark.createDataFrame([], shape)
+
+    def _verify(self, pairs: DataFrame, own: DataFrame, batch: int) -> DataFrame:
+        """The pairs whose texts have the similarity."""
+        parts = [r[0] for r in pairs.where("old").select("part").distinct().collect()]  # numbers of parts
+        left = self._texts(batch, parts).select(F.col("id").alias("a"), F.col("t").alias("ta"))
+        old = left.join(pairs.where("old").hint("shuffle_hash"), "a")
+        new = own.select(F.col("id").alias("a"), F.col("t").alias("ta")).join(pairs.where("not old"), "a")
+        both = old.unionByName(new).join(own.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "old", "ta", "tb")
         width, threshold = self.width, self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
                 for lo in range(0, part.num_rows, 1024):
                     p = part.slice(lo, 1024)
-                    good = similarity(p.column(4), p.column(5), width) >= threshold
-                    yield p.select(["a", "b", "sb", "old"]).filter(pa.array(good))
+                    good = similarity(p.column(3), p.column(4), width) >= threshold
+                    yield p.select(["a", "b", "old"]).filter(pa.array(good))
 
-        return both.mapInArrow(run, "a long, b long, sb long, old boolean")
+        return cut(both.mapInArrow(run, "a long, b long, old boolean"))
 
     @staticmethod
-    def _settle_at_once(edges: DataFrame) -> DataFrame:
-        """The result of `_settle` for a counted, small number of edges: one task, in order of the rows."""
+    def _settle(edges: DataFrame) -> DataFrame:
+        """(id): texts of the batch that repeat an accepted one; edges: (a, b, old), a before b in the batch or old."""
+        known = edges.where("old").select(F.col("b").alias("id")).distinct()
+        cases, left = known, _without(edges.where("not old").select("a", "b"), known)
+        while True:
+            later = left.select(F.col("b").alias("a"), F.lit(True).alias("waits")).distinct()
+            state = cut(left.join(later, "a", "left").select("a", "b", "waits"))
+            if state.isEmpty():
+                return cases.distinct()
+            hit = state.where("waits is null").select(F.col("b").alias("id")).distinct()
+            cases = cases.unionByName(hit)
+            left = _without(state.select("a", "b"), hit)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cases: set[int] = set()
-            for batch in batches:
-                for a, b, old in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "old"))):
-                    if old or a not in cases:  # what comes before b is settled
-                        cases.add(b)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(cases), pa.int64())], ["h"])
 
-        return edges.repartition(1).sortWithinPartitions("sb").mapInArrow(run, "h long")
+def _without(edges: DataFrame, cases: DataFrame) -> DataFrame:
+    """The edges that decided cases leave open."""
+    for end in ("b", "a"):
+        edges = edges.join(cases.select(F.col("id").alias(end)), end, "left_anti")
+    return edges.select("a", "b")
 
-    @staticmethod
-    def _settle(edges: DataFrame) -> DataFrame:
-        """(h): texts of the batch that repeat an accepted one; edges: (a, b, old), a before b in the batch or old."""
-        known = edges.where("old").select(F.col("b").alias("h")).distinct()
-        within = edges.where("not old").select("a", "b")
-        cases = known
-        open_edges = cut(
-            within.join(known.select(F.col("h").alias("b")), "b", "left_anti").join(known.select(F.col("h").alias("a")), "a", "left_anti").select("a", "b")
-        )
-        while not open_edges.isEmpty():
-            free = open_edges.select("a").distinct().join(open_edges.select(F.col("b").alias("a")), "a", "left_anti")
-            hit = cut(open_edges.join(free, "a", "left_semi").select(F.col("b").alias("h")).distinct())
-            cases = cases.unionByName(hit)
-            gone = hit.select(F.col("h").alias("b"))
-            open_edges = cut(
-                open_edges.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
-            )
-        return cases.distinct()
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rows_without_new_content(
@@ -392,13 +366,9 @@ def rows_without_new_content(
     width: int = 5,
 ) -> DataFrame:
     """(seq) of the rows of all batches, taken in order of their numbers, that bring no new content."""
-    spark = history.sparkSession
-    index = HistoryIndex(spark, None, threshold, width)
+    index = HistoryIndex(history.sparkSession, None, threshold, width)
     index.create(history, text)
     numbers = sorted(r[0] for r in batches.select(number).distinct().where(F.col(number).isNotNull()).collect())
-    shape, out = batches.select(seq).where("false"), f"{index.folder}-found"
-    for i, n in enumerate(numbers, 1):
-        found = index.add_batch(batches.where(F.col(number) == n), i, seq, text)
-        found.coalesce(8).write.mode("overwrite").parquet(f"{out}/batch={i}")
+    found = [cut(index.add_batch(batches.where(F.col(number) == n), i, seq, text)) for i, n in enumerate(numbers, 1)]
     index.drop()
-    return spark.read.schema(shape.schema).parquet(f"{out}/*") if numbers else shape
+    return functools.reduce(DataFrame.unionByName, found) if found else batches.select(seq).where("false")
