@@ -46,7 +46,7 @@ def folded_line(line):
     return " ".join(line.split()).lower()
 
 
-ALIKE = dict(zip("аАВсСԁеЕһНіІјЈКӏМоОрРԛѕЅТԝхХуУΑΒΕΗΙΚΜΝοΟΡΤΧΥΖɡ", "aABcCdeEhHiIjJKlMoOpPqsSTwxXyYABEHIKMNoOPTXYZg"))
+ALIKE = dict(zip("аАВсСԁеЕһНіІјЈКӏМоОрРԛѕЅТԝхХуУΑΒΕΗΙΚΜΝοΟΡΤΧΥΖɡνıոսօ", "aABcCdeEhHiIjJKlMoOpPqsSTwxXyYABEHIKMNoOPTXYZgvinuo"))
 
 
 def look(text):

@@ -6,6 +6,7 @@ import itertools
 import math
 import os
 import random
+import unicodedata as ud
 
 import numpy as np
 import pyarrow as pa
@@ -407,14 +408,35 @@ def test_lookalikes(spark):
     assert V.lookalike_pairs(df.limit(0)).collect() == []
 
 
-def test_canonical(spark):
-    texts = VARIANTS[:5] + ["Мария ест кaшу", "Мария ест кашу", "ѕсrарs zеrо", None, "", "plain"]
+def test_canonical(spark, monkeypatch):
+    words = ["Мария ест кaшу", "Мария ест кашу", "ѕсrарs zеrо", "scraps zero", "сор", "сосна сор", "Сосe", "Νέα", "Nέα", "gя жaба", "gя жаба", "kadın", "kadin", "ոսս", "ո", "ӏо"]
+    texts = VARIANTS[:5] + words + [None, "", "plain"]
     df = table(spark, list(enumerate(texts)), "doc_id long, text string").withColumn("k", F.lit(1))
     got = {r.doc_id: r.canonical for r in V.canonical_text(df).collect()}
     assert {got[i] for i in range(5)} == {VARIANTS[0]}
-    assert got[5] == got[6] == "Мария ест кашу"
-    assert got[7] == "ѕсrарs zеrо"  # mixed, but the corpus does not know what it would become
-    assert got[8] is None and got[9] == "" and got[10] == "plain"
+    form = {t: got[i] for i, t in enumerate(texts)}
+    assert form["Мария ест кaшу"] == "Мария ест кашу" == form["Мария ест кашу"]
+    assert form["ѕсrарs zеrо"] == "scraps zero"
+    assert form["сосна сор"] == "сосна сор"  # the vocabulary knows only the Cyrillic word
+    assert form["Nέα"] == form["Νέα"] == ud.normalize("NFC", "Νέα") and form["gя жaба"] == form["gя жаба"] and form["kadın"] == "kadin"
+    assert form["Сосe"] == "Coce"  # of a class the vocabulary does not know
+    assert form[None] is None and form[""] == "" and form["plain"] == "plain"
+    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):  # equal forms are equal looks
+        if a and b:
+            assert (got[i] == got[j]) == (look(a) == look(b)), (a, b)
+    classes = {r.doc_id: r.look for r in V.lookalike_classes(df).collect()}
+    assert len({classes[i] for i in range(5)}) == 1 and len(classes) == len(texts) - 2
+    nothing = table(spark, [], "k long, h array<long>, script array<int>")
+    before = set(everything(V.lookalike_pairs(df)))
+    monkeypatch.setattr(V, "approved_repairs", lambda *_: nothing)
+    assert set(everything(V.lookalike_pairs(df))) < before  # the repair decides rows
+
+
+def test_lookalikes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "PER_BLOCK", 3)
+    texts = ["cache"] * 10 + ["саche"] * 7 + ["ｃache"] * 2
+    df = table(spark, list(enumerate(texts)), "doc_id long, text string")
+    assert everything(V.lookalike_pairs(df)) == sorted((i, j) for i in range(19) for j in range(i + 1, 19) if texts[i] != texts[j])
 
 
 @LAX
