@@ -1,279 +1,201 @@
 """Main body of web pages (problem 4).
 
-Method: tree scoring over the blocks of a page.  The page's lines are the leaves.  A line worded like
-page furniture (menus, paths, consent notices, author lines, prompts, pointers to other pages,
-counters, advertisements, legal text, controls) has link density 1; any other line has a density by
-its form: 0 for prose, little for items, rows and requests, more for short unpunctuated lines, most
-for separated labels and for labels in runs.  A sentence line earns points for its length and its
-commas.  Blocks are runs of lines on one side of density 0.5, sections the blocks between furniture;
-points, discounted by the block's density, go in full to the block, by half to its section, by a
-quarter to the page.  The node with most points is the main container.  Its siblings are the blocks
-with a share of the best block's points; labels inside their span, or right behind them as a
-heading, are kept, labels outside are not, whatever their words.
-
-The wording is short fixed phrases of four languages, given below as fixed values; it decides alone
-on furniture inside the article and on furniture written as sentences, which form cannot tell from
-headings and prose.  A list of pointers is a heading of pointers and the titles or teasers that
-follow it.  Each page is scored by itself (lines repeated within a site are not counted: the
-article's own headings repeat as well): the operator is map-only, after one distinct by id.
+Method: tree scoring.  `content` is text without tags, so the tree of a page is built from its lines:
+lines are the paragraphs, runs of lines on one side of density 0.5 are blocks, and blocks between runs
+of links are sections of the page.  A line's points are 1, one for each comma and up to three for its
+length.  A block's points are those of its lines, discounted by its link density; it passes half of
+them on to its section and a quarter to the page.  The container is the section that gathers most.  A
+block is kept when its points a line reach `FLOOR` and its section is the container or a sibling, one
+with `SIBLING` of its points.
+
+Link density is not marked in text, so it is taken from structure and from counts over the collection:
+
+* a line whose template is held by many pages is part of the pages' frame: density 1.  In a template
+  numbers are 0 and uncommon words #, so "by Ada Byron, 3/4/2021" and its like are one;
+* a path that ends with the page's own title: 1; a line that opens like many others ("Read also: ..."):
+  0.95; a text cut off with an ellipsis, or separated labels: 0.9;
+* list items, requests and rows of figures: 0.25; sentences, long lines and what a wrapped paragraph goes
+  on with: 0;
+* short lines without an end: 0.4 inside running text (headings, items), 0.8 elsewhere (titles of other pages);
+* a repeated label directly between running text: 0.4, as a heading.
+
+No wording is fixed.  Two counts come first: words held by `COMMON_SHARE` of the pages are common;
+templates and openings held by `REPEAT_SHARE` of them are repeated.  Both lists go to the driver and are broadcast; their
+sizes are bounded by the shares: no more than (words, or lines, of a page on average) / share entries,
+whatever the number of pages.  Counts are over every page; each task sends a count of each distinct
+entry.  Tables of few pages (under about 300) have few repeats, so less of their frame is found.
 
 Defined results: rows of one id count once; null, empty and blank contents have no lines; a page
-without any sentence keeps its title and what is not furniture; extra columns are ignored; an
-empty table gives an empty table.
+without any running text keeps its title and the short lines right below it; a null key counts as a key;
+extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labels of menus and footers.
-LABELS = set(
-    """
-    home about blog docs login pricing search guides archive press contact support partners labs careers status events
-    forum topics community downloads privacy terms imprint sitemap accessibility legal help news
-    startseite suche blog themen presse anmelden impressum neuigkeiten hilfe preise archiv anleitungen kontakt
-    datenschutz agb barrierefreiheit
-    accueil recherche aide archives thèmes guides blogue tarifs contact connexion actualités presse
-    confidentialité conditions accessibilité plan
-    inicio guías noticias acceso temas archivo ayuda contacto precios prensa buscar blog
-    privacidad condiciones accesibilidad mapa
-    """.split()
-)
-#: Labels of several words.
-PHRASES = [
-    "cookie settings", "do not sell my data", "report abuse", "mentions légales", "aviso legal",
-    "über uns", "à propos", "acerca de",
-]
-#: Buttons and page controls that fill a line.
-CONTROLS = set(
-    """
-    ok|got it|accept|accept all|manage options|reject|continue|show all replies|edit this page|back to top|skip to content
-    loading…|loading...|toggle dark mode|listen to this page|[advertisement]|advertisement|sponsored|print|bookmark|copy link
-    save for later|drucken|link kopieren|imprimer|copier le lien|imprimir|copiar enlace|aceptar|akzeptieren|accepter
-    ‹ previous next ›|« previous next »|en | de | fr | es|text size: a a a|was this page helpful? yes no
-    """.replace("en | de | fr | es", "en ¦ de ¦ fr ¦ es").strip().replace("\n", "|").split("|")
-)
-CONTROLS = {" ".join(x.split()).replace("¦", "|") for x in CONTROLS}
-#: Headings above lists of pointers to other pages.
-POINTERS = set(
-    """
-    you may also like|from the archive|keep reading|more like this|related articles|popular this week|read next|see also|most read
-    auch interessant|mehr zum thema|meistgelesen|weiterlesen
-    à lire aussi|sur le même sujet|les plus lus|le puede interesar|más leídos|relacionados|lea también
-    """.strip().replace("\n", "|").split("|")
-)
-POINTERS = {" ".join(x.split()) for x in POINTERS}
-
-_NAME = r"[^\W\d_]+ [^\W\d_]+"
-_DATE = r"(?:,? ?(?:\d{1,4}[/.\-]\d{1,2}[/.\-]\d{1,4}|\d{1,2}\.? \w+ \d{4}|\w+ \d{1,2},? \d{4}))?"
-#: Openings of furniture lines, lower case.
-FURNITURE = re.compile(
-    "|".join(
-        [
-            # author and date lines
-            rf"(?:by|posted by|written by|words:|text:|texto:|texte ?:|von|por|par) {_NAME}{_DATE}$",
-            rf"{_NAME}, (?:staff writer|redaktion|rédaction|redacción){_DATE}$",
-            # counters and controls
-            r"\d+ min read$", r"page \d+ of \d+$", r"last edited ", r"\d+ people found this helpful",
-            r"\d+ (?:comments|kommentare|commentaires|comentarios)\b",
-            # prompts
-            r"found this useful\? ", r"like what you read\? ", r"share this (?:on|by|with|in|today)\b", r"tell others (?:on|by|with|in|today)\b",
-            r"send to a colleague\b", r"gefällt ihnen das\? ", r"artikel teilen\b", r"cela vous plaît ?\? ",
-            r"partager cet article\b", r"¿le gustó\? ", r"comparta esta nota\b",
-            # consent
-            r"(?:our pages and partners set|we use) cookies\b", r"your choices matter to us, and so do cookies\b",
-            r"this site stores small files\b", r"by staying here you agree to tracking files\b",
-            r"diese seite speichert kleine dateien\b", r"wir verwenden cookies\b", r"ce site garde de petits fichiers\b",
-            r"nous utilisons des témoins\b", r"este sitio guarda archivos pequeños\b", r"usamos cookies\b",
-            # pointers to other pages and tags
-            r"(?:read also|see also|read next|siehe auch|lesen sie auch|lire aussi|voir aussi|à lire|lea también|ver también|vea también|más sobre) ?[:–—-] ",
-            r">> ", r"(?:advertisement|sponsored|anzeige|publicité|annonce|publicidad|anuncio) ?: ",
-            r"(?:tags|schlagwörter|schlagworte|stichwörter|mots-clés|étiquettes|etiquetas) ?: ",
-            # subscriptions
-            r"sign up for our letter\b", r"get one mail a week\b", r"create a free account\b", r"never miss an update\b",
-            r"join [\d,.]+ readers\b", r"abonnieren sie unseren rundbrief\b", r"jetzt kostenlos anmelden\b",
-            r"recevez notre lettre\b", r"créez un compte gratuit\b", r"reciba nuestro boletín\b", r"cree una cuenta gratis\b",
-            # legal text
-            r"(?:©|\(c\)|copyright) ", r"all rights reserved", r"alle rechte vorbehalten", r"tous droits réservés",
-            r"todos los derechos reservados", r"reproduction in whole or part\b", r"opinions are those of the authors\b",
-            r"text may be quoted with a link\b", r"trade names belong to their owners\b", r"nothing here is advice\b",
-            r"nachdruck nur mit erlaubnis\b", r"alle angaben ohne gewähr\b", r"prohibida la copia\b", r"datos sin garantía\b",
-            r"reproduction interdite\b", r"informations sans garantie\b",
-            r"some links here earn \w+ a small fee\b", r"this page holds statements about plans\b",
-            r"prices, names and figures on this page may have changed\b",
-            r"\w+ and its editors collect this material\b",
-        ]
-    )
-)
-#: Openings of furniture in running prose, which wrapping may cut.
-PROSE = re.compile(
-    r"(?:our pages and partners|we use cookies|your choices matter|this site stores|by staying here|diese seite speichert"
-    r"|wir verwenden cookies|ce site garde|nous utilisons des|este sitio guarda|usamos cookies|©|\(c\)|copyright|some links here earn"
-    r"|this page holds statements|prices, names and figures|\w+ and its editors collect)"
-)
-_SPLIT = re.compile(r"\s*[|/·»>›•]\s*")
-_TEASER = re.compile(r".*(?:… ?(?:read more|weiterlesen|lire la suite|leer más|mehr|suite|más)|…)$")
-_ITEM = re.compile(r"(?:[*>•–-]|\d+[.)]|GET|POST|PUT|DELETE|PATCH|HEAD)\s|[*=_ -]+$|.*\w\S*[=&]\S")
+from .storage import cut
+
+#: Lines longer than this are prose by their length alone.
+LONG = 300
+#: A word is common, a template or opening repeated, from this share of the pages (and this number of them) on.
+COMMON_SHARE, REPEAT_SHARE, LEAST_PAGES = 0.002, 0.001, 6
+#: Share of the container's points that makes another section its sibling.
+SIBLING = 0.05
+#: Points a line that keep a block.
+FLOOR = 0.5
+
+#: Distinct entries that a task holds before it sends their counts.
+_HELD = 500_000
+_WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _END = re.compile(r"[.!?…。:;»”\"')\]]$")
+_PIECES = re.compile(r"\s*[|/·»>›•]\s*")
+_STEP = re.compile(r" [/·»>›|] ")
+_LEAD = re.compile(r"^(\W*(?:\w+[ ’']?){0,3}\s?(?:[:–—]|>>|»))\s")
+_CUT_OFF = re.compile(r"…(?:\W*\w+){0,3}\W*$")
+_BULLET = re.compile(r"(?:[*•–-]|\d+[.)])\s+\S|[A-Z]{3,6} /\S|[^\w]+$")
 
 
-def _labels_only(low: str) -> bool:
-    """True when a line holds nothing but labels of menus."""
-    for p in PHRASES:
-        if p in low:
-            low = low.replace(p, "home")
-    return all(w in LABELS for w in _SPLIT.sub(" ", low).split())
+def template(line: str, common: frozenset[str]) -> str:
+    """A line's words with numbers as 0 and runs of uncommon words as #."""
+    out: list[str] = []
+    for w in _WORDS.findall(line):
+        w = "0" if w.isdigit() else w if w in common or not w[0].isalpha() else "#"
+        if not (w == "#" and out and out[-1] == "#"):
+            out.append(w)
+    return " ".join(out)
 
 
-_STEP = re.compile(r" [/·»>›|] ")
+def lead(line: str) -> str:
+    """The few words before a line's first colon or dash; empty without."""
+    m = _LEAD.match(line)
+    return m.group(1) if m else ""
+
+
+def _is_data(line: str) -> bool:
+    """List items, requests, separators and rows of a table with figures."""
+    if _BULLET.match(line):
+        return True
+    cells = line.split(" | ")
+    return len(cells) > 2 and sum(any(c.isdigit() for c in x) for x in cells) > 1
+
+
+@dataclass(frozen=True)
+class Frame:
+    """What the pages of a collection share."""
 
+    common: frozenset[str] = frozenset()
+    templates: frozenset[str] = frozenset()
+    leads: frozenset[str] = frozenset()
 
-def _path_end(low: str, known: set[str]) -> str:
-    """What a path of labels ends with, if that is a line of the page or its title; else empty."""
-    for m in _STEP.finditer(low):
-        if not _labels_only(low[: m.start()]):
-            return ""
-        if low[m.end() :] in known:
-            return low[m.end() :]
-    return ""
-
-
-_KNOWN: dict[str, bool] = {}
-#: Share of the best block's points that makes a block a sibling of the container.
-SIBLING = 0.02
-
-
-def is_furniture(low: str) -> bool:
-    """True when a line (lower case, single blanks) is page furniture by its wording alone."""
-    got = _KNOWN.get(low)
-    if got is None:
-        got = low in CONTROLS or bool(FURNITURE.match(low)) or _labels_only(low)
-        if len(low) < 200:
-            if len(_KNOWN) > 100_000:
-                _KNOWN.clear()
-            _KNOWN[low] = got
-    return got
-
-
-def _density(flat: list[str], sentence: list[bool], dense: list[bool], solid: list[int], k: int) -> float:
-    """Link density of the k-th non-blank line from its form: 0 for prose, more for short unpunctuated lines in runs."""
-    i = solid[k]
-    x = flat[i]
-    if dense[i]:
-        return 1.0
-    if sentence[i] or len(x) > 60 or (i and len(flat[i - 1]) > 50 and not dense[i - 1] and _END.search(x) and not _END.search(flat[i - 1])):
-        return 0.0  # prose, or the end of a wrapped paragraph
-    if _ITEM.match(x) or any(c.isdigit() for c in x):
-        return 0.25
-    parts = _SPLIT.split(x)
-    if len(parts) > 2 and all(p.count(" ") < 2 for p in parts):
-        return 0.9
-    if x.count(" ") > 3:
-        return 0.4
-    near = [solid[j] for j in (k - 1, k + 1) if 0 <= j < len(solid)]
-    return 0.6 + 0.15 * sum(dense[j] or (not sentence[j] and flat[j].count(" ") < 4) for j in near)
-
-
-def _contained(flat: list[str], sentence: list[bool], share: list[float], solid: list[int], top: int) -> list[bool]:
-    """For each non-blank line: whether it lies in the main container or its siblings.
-
-    Blocks are runs of lines on one side of density 0.5, sections the blocks between those of density
-    1; a block's discounted points go in full to the block, by half to its section, by a quarter to the page.
-    """
+
+def densities(flat: list[str], low: list[str], solid: list[int], top: int, paths: set[int], frame: Frame) -> list[float]:
+    """Link density of every non-blank line; top: the title's line."""
+    out: list[float] = []
+    label: list[bool] = []
+    for i in solid:
+        x, y = flat[i], low[i]
+        sentence = bool(_END.search(x)) and y.count(" ") > 2
+        before = flat[i - 1] if i else ""
+        repeated = False
+        if i == top or len(x) > LONG:
+            d = 0.0
+        elif i in paths:
+            d = 1.0
+        elif _is_data(x):
+            d = 0.25
+        elif len(before) > 40 and not _END.search(before) and i - 1 != top and out[-1] == 0.0:
+            d = 0.0  # a wrapped paragraph goes on
+        elif template(y, frame.common) in frame.templates:
+            d, repeated = 1.0, len(x) < 40 and x.replace(" ", "").isalpha() and x[1:] == y[1:]
+        elif not sentence and lead(y) in frame.leads:
+            d = 0.95
+        elif _CUT_OFF.search(x):
+            d = 0.9
+        elif sentence or len(x) > 60:
+            d = 0.0
+        else:
+            parts = _PIECES.split(x)
+            d = 0.9 if len(parts) > 2 and all(p.count(" ") < 2 for p in parts) else 0.6
+        out.append(d)
+        label.append(repeated)
+    n, k = len(out), 0
+    while k < n:  # short lines inside running text are its headings and items, others are links
+        end = k
+        while end < n and out[end] == 0.6:
+            end += 1
+        if end > k:
+            text_after = end < n and out[end] < 0.5
+            inside = k > 0 and (out[k - 1] < 0.5 or (k > 1 and label[k - 1] and out[k - 2] < 0.5 and text_after))
+            opens = end == k + 1 and text_after and not any(d < 0.5 for d in out[:k])
+            out[k:end] = [0.4 if inside or opens else 0.8] * (end - k)
+        k = max(end, k + 1)
+    for k in range(1, n - 1):
+        if label[k] and out[k - 1] < 0.5 and out[k + 1] < 0.5:
+            out[k] = 0.4
+    return out
+
+
+def kept_lines(flat: list[str], share: list[float], solid: list[int], top: int) -> list[bool]:
+    """For each non-blank line: whether it lies in a good block of the container or of its siblings."""
     blocks: list[list[int]] = []
     for k, s in enumerate(share):
-        if not k or (s >= 0.5) != (share[k - 1] >= 0.5):
+        if not k or (s >= 0.5) != (share[k - 1] >= 0.5) or top in (solid[k - 1], solid[k]):
             blocks.append([])
         blocks[-1].append(k)
-    points, section = [], []
-    at = 0
+    points, section, at = [], [], 0
     for b in blocks:
-        size = sum(len(flat[solid[k]]) for k in b)
-        density = sum(len(flat[solid[k]]) * share[k] for k in b) / size
-        raw = sum(1 + flat[solid[k]].count(",") + min(len(flat[solid[k]]) / 100, 3) for k in b if sentence[solid[k]] or len(flat[solid[k]]) > 60)
-        at += density == 1
-        points.append(raw * (1 - density))
+        size = [len(flat[solid[k]]) for k in b]
+        density = sum(n * share[k] for n, k in zip(size, b)) / sum(size)
+        points.append((1 - density) * sum(1 + flat[solid[k]].count(",") + min(n / 100, 3) for n, k in zip(size, b)))
+        at += density >= 0.5 and len(b) > 1
         section.append(at)
-    kept = [True] * len(share)
-    if not any(points):
-        return kept
-    of_section: dict[int, float] = {}
+    gathered: Counter[int] = Counter()
     for p, s in zip(points, section):
-        of_section[s] = of_section.get(s, 0) + p / 2
+        gathered[s] += p / 2
     page = sum(points) / 4
-    best = max(points)
-    home = section[points.index(best)]
-    # the container: the block, or the section or page around it when that gathers more
-    widest = max((best, 0), (of_section[home], 1), (page, 2))[1]
-    inside = [widest == 2 or s == home and (widest == 1 or p == best) for p, s in zip(points, section)]
-    near = [n for n, p in enumerate(points) if p > SIBLING * best or any(solid[k] == top for k in blocks[n]) or (inside[n] and share[blocks[n][0]] < 0.5)]
-    for n, b in enumerate(blocks):
-        heading = n > near[0] and share[b[0] - 1] < 0.5 and share[b[0]] < 1 and (len(b) == 1 or share[b[1]] == 1)
-        if not near[0] <= n <= near[-1] and share[b[0]] >= 0.5 and not heading:
-            for k in b:
-                kept[k] = False  # labels outside the span of the container and its siblings
-    return kept
-
-
-def body_mask(lines: list[str], title: str | None) -> list[bool | None]:
+    best = max(gathered.values(), default=0.0)
+    out = [False] * len(share)
+    for b, p, s in zip(blocks, points, section):
+        title = solid[b[0]] == top
+        good = p / len(b) >= FLOOR and gathered[s] >= SIBLING * max(best, page / len(blocks))
+        for k in b:
+            out[k] = title or (good and solid[k] >= top)
+    return out
+
+
+def body_mask(lines: list[str], title: str | None, frame: Frame) -> list[bool | None]:
     """For each line of a page: None if blank, True if main body, False if not."""
     flat = [" ".join(x.split()) for x in lines]
     low = [x.lower() for x in flat]
     head = " ".join((title or "").split()).lower()
     solid = [i for i, x in enumerate(flat) if x]
-    dense = [False] * len(lines)
     known = {low[i] for i in solid} | ({head} if head else set())
-    paths = {i: end for i in solid if (end := _path_end(low[i], known))}
-    if not any(low[i] == head for i in solid):
-        head = next(iter(paths.values()), head)  # the title is missing: the path names it
-    sentence = [bool(_END.search(x)) and x.count(" ") >= 3 for x in flat]
-    top = -1
-    for i in solid:
-        if top < 0 and head and low[i] == head:
-            top = i
-            continue
-        dense[i] = i in paths or is_furniture(low[i])
-    # pointers: a heading and the titles or teasers behind it
-    at = 0
-    while at < len(solid):
-        i = solid[at]
-        if low[i] in POINTERS:
-            dense[i] = True
-            nxt = at + 1
-            while nxt < len(solid):
-                j = solid[nxt]
-                if dense[j] or low[j] in POINTERS or (sentence[j] and not _TEASER.match(low[j])):
-                    break
-                dense[j] = True
-                nxt += 1
-            at = nxt
-        else:
-            at += 1
-    # prose of consent and law that the page's wrapping has cut: the rest of the paragraph belongs to it
-    flow = -2
+    paths: dict[int, str] = {}
     for i in solid:
-        if not dense[i] and i == flow + 1 and i != top:
-            dense[i] = True
-            flow = -2 if _END.search(flat[i]) else i
-        elif PROSE.match(low[i]) and len(flat[i]) >= 50 and not _END.search(flat[i]):
-            flow = i
+        for m in _STEP.finditer(low[i]):
+            if low[i][m.end() :] in known and all(p.count(" ") < 3 for p in _PIECES.split(low[i][: m.start()])):
+                paths[i] = low[i][m.end() :]
+                break
+    if not any(low[i] == head for i in solid):
+        head = next(iter(paths.values()), head)  # the title is missing: a path names it
+    top = next((i for i in solid if head and low[i] == head), -1)
+    kept = kept_lines(flat, densities(flat, low, solid, top, set(paths), frame), solid, top)
     out: list[bool | None] = [None] * len(lines)
-    share = [0.0 if i == top else _density(flat, sentence, dense, solid, k) for k, i in enumerate(solid)]
-    kept = _contained(flat, sentence, share, solid, top)
     for k, i in enumerate(solid):
-        out[i] = kept[k] and not dense[i] and (top < 0 or i >= top)
+        out[i] = kept[k]
     return out
 
 
-def not_main_body(
-    docs: DataFrame, key: str = "id", title: str = "title", text: str = "content"
-) -> DataFrame:
+def not_main_body(docs: DataFrame, key: str = "id", title: str = "title", text: str = "content") -> DataFrame:
     """(key, line_no) of the non-blank lines that are not main body."""
     return _lines(docs, key, title, text).where("not body").select(key, "line_no")
 
@@ -283,22 +205,68 @@ def main_body(docs: DataFrame, key: str = "id", title: str = "title", text: str
     return _lines(docs, key, title, text).where("body").select(key, "line_no", "line")
 
 
+def _short_lines(text: str) -> list[str]:
+    return [y for x in text.split("\n") if (y := " ".join(x.split()).lower()) and len(y) <= LONG]
+
+
+def _counted(once: DataFrame, kinds: Callable[[str], list[set[str]]], least: float) -> list[frozenset[str]]:
+    """Entries of each kind that at least `least` pages hold; kinds: a page's entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[Counter[str]] = []
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for n, found in enumerate(kinds(text)):
+                    if n == len(total):
+                        total.append(Counter())
+                    total[n].update(found)
+            if sum(map(len, total)) > _HELD:
+                yield from flushed(total)
+                total = []
+        yield from flushed(total)
+
+    def flushed(total: list[Counter[str]]) -> Iterator[pa.RecordBatch]:
+        for n, c in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["kind", "x", "n"])
+
+    counts = once.select("content").mapInArrow(run, "kind int, x string, n long").groupBy("kind", "x").agg(F.sum("n").alias("n"))
+    out: dict[int, set[str]] = {}
+    for kind, x in counts.where(F.col("n") >= least).select("kind", "x").toLocalIterator():
+        out.setdefault(kind, set()).add(x)
+    return [frozenset(out.get(n, ())) for n in range(2)]
+
+
+def frame_of(once: DataFrame) -> Frame:
+    """What the pages share; once: (.., content), one row a page."""
+    pages = once.count()
+    common, _ = _counted(once, lambda t: [{w for x in _short_lines(t) for w in _WORDS.findall(x) if w[0].isalpha()}], max(LEAST_PAGES, COMMON_SHARE * pages))
+    sent = once.sparkSession.sparkContext.broadcast(common)
+
+    def entries(text: str) -> list[set[str]]:
+        lines = _short_lines(text)
+        return [{template(x, sent.value) for x in lines}, {y for x in lines if (y := lead(x))}]
+
+    return Frame(common, *_counted(once, entries, max(LEAST_PAGES, REPEAT_SHARE * pages)))
+
+
 def _lines(docs: DataFrame, key: str, title: str, text: str) -> DataFrame:
-    once = (
-        docs.select(F.col(key).alias("k"), F.col(title).alias("title"), F.col(text).alias("content"))
+    once = cut(
+        docs.select(F.col(key).alias("k"), F.col(title).cast("string").alias("title"), F.col(text).cast("string").alias("content"))
         .where("content is not null")
         .dropDuplicates(["k"])
     )
     kind = once.schema["k"].dataType.simpleString()
+    sent = once.sparkSession.sparkContext.broadcast(frame_of(once))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 row, number, line, body = [], [], [], []
                 for r, (t, c) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                     lines = c.split("\n")
-                    for n, (x, keep) in enumerate(zip(lines, body_mask(lines, t)), 1):
+                    for n, (x, keep) in enumerate(zip(lines, body_mask(lines, t, frame)), 1):
                         if keep is not None:
                             row.append(r)
                             number.append(n)

@@ -16,11 +16,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.llm import kernels as K
+from larkspur.llm import main_body as B
 from larkspur.llm import near_duplicates as N
 from larkspur.llm import visual_form as V
 from larkspur.llm.frequency import count_terms, mark_terms
 from larkspur.llm.history import HistoryIndex, rows_without_new_content
-from larkspur.llm.main_body import body_mask, main_body, not_main_body
+from larkspur.llm.main_body import main_body, not_main_body
 from larkspur.llm.packing import pack
 from larkspur.llm.repeated_lines import repeated_lines, site_of, without_repeated_lines
 from larkspur.llm.tokenizer import LONG, VOCABULARY, encode_corpus, vocabulary
@@ -196,64 +197,84 @@ def test_frequencies(spark):
 
 # --- problem 4 -----------------------------------------------------------------------------------
 
-PAGE = """We use cookies to measure visits. See our policy for details.
-OK
-Home | Pricing | Search
-Home > Blog > A quiet index at Rome
-A quiet index at Rome
-Written by Ada Byron, 3/4/2021
-
-The index keeps its promises, most of the time, and its authors know why it does not at others.
-Results
-* sparse list Rome
-node1 | 3 ms | 4 shard | Rome
-GET /search?q=a+b&k=3
-5 min read
-Share this by mail – Print
-Every reader asks the same question, whether the cache is warm, and every answer is that it was.
-Read also: Another index at Paris
-Keep reading
-Another index at Paris
-A third index at Oslo: The list was long, they said… Read more
-© 2020 Example. All rights reserved.
-Privacy
-"""
+def web_pages(n=80, seed=8):
+    """Pages whose frame is worded as no list could know, and the numbers of their body lines."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+    shared = [word() for _ in range(60)]
+    prose = lambda: f"{word().title()}, {' '.join(rng.choice(shared) for _ in range(14))}, {word()} {word()}."
+    out = []
+    for i in range(n):
+        title = f"{rng.choice(shared).title()} {rng.choice(shared)} beyond {word()} at {word().title()}"
+        lines = [
+            (0, "Zimbo plents our frabs and kettles for all of you."),
+            (0, "Oakum | Plimm | Quixo | Zorba"),
+            (0, f"Oakum / Plimm / {title}"),
+            (1, title),
+            (0, f"Wrought of {word().title()} {word().title()}, {i % 28 + 1}/3/2021"),
+            (1, prose()),
+            (1, "Outcomes"),
+            (1, prose() * 2),
+            (1, f"* {rng.choice(shared)} {word()}"),
+            (1, f"{word()} | {i} ms | {i * 7} {word()} | {word()}"),
+            (0, "Pass it on, dear folk – Inkit"),
+            (1, prose()),
+            (0, "Peruse ye also"),
+            *((0, f"{rng.choice(shared).title()} {rng.choice(shared)} beyond {word()} at {word().title()}") for _ in range(1 + i % 12)),
+            (0, f"Peruse: {rng.choice(shared).title()} {word()} at {word().title()}"),
+            (0, "Hereby and forthwith all is kept by its makers."),
+            (0, "Legalia"),
+            (0, "Plimm"),
+        ]
+        if i % 4 == 0:
+            lines.insert(7, (1, ""))
+        out.append((f"d{i:03}", title if i % 5 else None, ("\r\n" if i % 3 else "\n").join(x for _, x in lines) + " ", [k for k, _ in lines]))
+    return out
 
 
 def test_main_body(spark):
-    body = {5, 8, 9, 10, 11, 12, 15}
-    rows = [("a", "A quiet index at Rome", PAGE), ("a", "A quiet index at Rome", PAGE), ("b", None, None), ("c", "", ""), ("d", "x", " \n\t\n"), ("e", None, PAGE)]
+    pages = web_pages()
+    rows = [p[:3] for p in pages] + [pages[0][:3], ("n1", None, None), ("n2", "", ""), ("n3", "x", " \n\t\n"), (None, "t", "One line, and its end.")]
     df = table(spark, rows, "id string, title string, content string").withColumns({"line": F.lit(1), "k": F.lit(1), "body": F.lit(1)})
-    solid = {n for n, x in enumerate(PAGE.split("\n"), 1) if x.strip()}
-    want = sorted((i, n) for i in "ae" for n in solid - body)
-    assert everything(not_main_body(df)) == want
-    kept = main_body(df).where("id = 'a'").orderBy("line_no").collect()
-    assert [r.line_no for r in kept] == sorted(body) and kept[1].line.startswith("The index keeps")
+    lines = {(i, n) for i, _, c, _ in pages for n, x in enumerate(c.split("\n"), 1) if x.strip()}
+    body = {(i, n) for i, _, _, ks in pages for n, k in enumerate(ks, 1) if k} & lines
+    out = {(r.id, r.line_no) for r in not_main_body(df).collect()}
+    kept = {(r.id, r.line_no): r.line for r in main_body(df).collect()}
+    assert out.isdisjoint(kept) and {x for x in out | set(kept) if x[0]} == lines | {x for x in out | set(kept) if x[0] in ("n1", "n2", "n3")}
+    assert not any(x[0] in ("n1", "n2", "n3") for x in out | set(kept)) and kept[None, 1].startswith("One line")
+    assert len(out & (lines - body)) >= 0.97 * len(lines - body) and len(out & body) <= 0.03 * len(body)
+    assert kept["d001", 4] == pages[1][1]
     assert not_main_body(df.limit(0)).collect() == []
 
 
-def test_main_body_without_sentences():
-    assert body_mask(["Title", "", "Login", "word"], "Title") == [True, None, False, True]
-    assert body_mask([""], None) == [None]
+def test_points_decide(monkeypatch):
+    pages = web_pages()
+    texts = [p[2] for p in pages]
+    words = collections.Counter(w for t in texts for w in {w for x in B._short_lines(t) for w in B._WORDS.findall(x)})
+    common = frozenset(w for w, n in words.items() if n >= 6)
+    shapes = collections.Counter(x for t in texts for x in {B.template(x, common) for x in B._short_lines(t)})
+    leads = collections.Counter(x for t in texts for x in {B.lead(x) for x in B._short_lines(t)} - {""})
+    frame = B.Frame(common, frozenset(x for x, n in shapes.items() if n >= 6), frozenset(x for x, n in leads.items() if n >= 6))
+    masks = lambda: [B.body_mask(t.split("\n"), h, frame) for _, h, t, _ in pages]
+    scored = masks()
+    monkeypatch.setattr(B, "FLOOR", 0.0)
+    free = masks()
+    wrong = lambda ms: sum(bool(k) != x for m, (_, _, _, ks) in zip(ms, pages) for x, k in zip(m, ks) if x is not None)
+    assert wrong(scored) * 10 < wrong(free)
+
+
+def test_body_of_odd_pages():
+    none = B.Frame()
+    assert B.body_mask([""], None, none) == [None]
+    assert B.body_mask(["Title", "", "Login", "word"], "Title", none) == [True, None, True, True]
     long = "A very long sentence, with commas, " * 5000 + "ends."
-    assert body_mask(["Home", long, "Terms"], None) == [False, True, False]
-    cut = ["A title", "A sentence that is main body, as it ought to be.", "Some links here earn Example a small fee when you buy through them and the", "fee never changes what we say."]
-    assert body_mask(cut, "A title") == [True, True, False, False]
-
-
-def test_main_body_of_unknown_wording():
-    """No line of furniture here is a fixed phrase: density, container and siblings decide."""
-    prose = "The index keeps its promises, most of the time, and its authors know why it does not."
-    page = ["Zorba | Quixo | Plimm", "Fennel", "Grubble", prose, "Hints", prose, "* sparse list Rome", "Wibble", "Fennel", "Grubble", "Zorba | Quixo | Plimm"]
-    assert body_mask(page, None) == [False] * 3 + [True] * 4 + [False] * 4
-    assert body_mask(["A title at Rome", *page[3:]], "A title at Rome") == [True] * 5 + [False] * 4
-    assert body_mask(["Home", "A title about the quiet index at Rome", "By Ada Byron, 3/4/2021", prose], None) == [False, True, False, True]
-
-
-def test_main_body_long_list_of_pointers():
-    titles = [f"Another index beyond reach at Paris {n}" for n in range(12)]
-    prose = "The index keeps its promises, most of the time, and its authors know why it does not."
-    assert body_mask(["A title", prose, "Keep reading", *titles], "A title") == [True, True] + [False] * 13
+    assert B.body_mask(["Home", "Terms", long, "Terms", "Legal"], None, none) == [False, False, True, False, False]
+    wrapped = ["A title", "A paragraph that the page has wrapped after some of its", "words goes", "on and ends here.", "x"]
+    assert B.body_mask(wrapped, "A title", none)[:4] == [True] * 4
+    titles = [f"Another index beyond reach at Paris {n}" for n in range(40)]
+    assert B.template("keep reading 5", frozenset(["keep"])) == "keep # 0"
+    frame = B.Frame(common=frozenset(["keep", "reading"]), templates=frozenset(["keep reading"]))
+    assert B.body_mask(["A title", "A sentence of the body, and its end.", "Keep reading", *titles], "A title", frame) == [True, True] + [False] * 41
 
 
 # --- problem 5 -----------------------------------------------------------------------------------
