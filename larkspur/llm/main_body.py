@@ -134,7 +134,7 @@ def densities(flat: list[str], low: list[str], solid: list[int], top: int, paths
             end += 1
         if end > k:
             text_after = end < n and out[end] < 0.5
-            inside = k > 0 and (out[k - 1] < 0.5 or (k > 1 and label[k - 1] and out[k - 2] < 0.5 and text_after))
+            inside = k > 0 and ((out[k - 1] < 0.5 and (end < n or solid[k - 1] == top)) or (k > 1 and label[k - 1] and out[k - 2] < 0.5 and text_after))
             opens = end == k + 1 and text_after and not any(d < 0.5 for d in out[:k])
             out[k:end] = [0.4 if inside or opens else 0.8] * (end - k)
         k = max(end, k + 1)
