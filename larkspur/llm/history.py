@@ -55,7 +55,7 @@ PARITY = 1024
 #: Bytes of text for a cell of the sketch (a token takes about seven), and bounds of its cells.
 CELL_BYTES, LEAST_CELLS, MOST_CELLS = 16, 1 << 16, 1 << 25
 #: Bytes of text for a range of tokens, and bounds of the ranges.
-RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 32_000_000, 8, 16384
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 8_000_000, 8, 16384
 BLOCK = 1 << 16
 _SKETCH_PARTS = 64
 

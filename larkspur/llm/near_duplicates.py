@@ -7,15 +7,18 @@ shard a vantage-point tree finds every two within the radius that belongs to the
 branches by the triangle inequality.  The pairs found are verified on the whole texts, exactly.
 
 Which shards: a vantage point cannot cut the collection as a whole at these thresholds.  Unrelated
-fingerprints lie 91 +- 7 bits of 192 apart, the radius for J >= 0.5 is 75, so d(x, v) says nothing
-about which far branch to skip, and every boundary strip would hold all points.  So a fingerprint's
-shards are given by bands of `ROWS` of its minima (`HASHES / ROWS` overlapping shards a text), which
-lose a pair of J = 0.5 with probability 1.6e-2, of 0.55 with 2e-3, of 0.6 with 1e-4 and of 0.7 with 2e-8, whatever the collection's size.
-The trees do the work inside the shards.
+fingerprints lie 122 +- 8 bits of 256 apart, the radius for J >= 0.5 is 89, so d(x, v) says nothing
+about which far branch to skip, and every boundary strip would hold all points.  So a coarse first cut
+goes before the trees: a fingerprint lies in the shards of `HASHES / ROWS` bands of `ROWS` of its minima.
+Bands that short gather unrelated texts beside similar ones; they lose a pair of J = 0.5 with probability
+2.7e-6, of 0.55 with 3e-8, whatever the collection's size.  The trees search every shard of two or more
+texts; a branch is skipped where the vantage point's own group of near copies is told from the rest.
+The radius loses a pair at the threshold itself with probability 2.3e-4 (3.5 standard deviations).
 
 A shard of more than `LIMIT` texts is split into blocks, and each pair of blocks is one task's tree
-query, so that no task holds more than two blocks.  Equal texts are one point; they are expanded to
-ids after the search.
+query, so that no task holds more than two blocks.  Equal texts are one point; `near_duplicate_classes`
+gives the classes and the pairs between them, one row a text, and is the result to use at scale;
+`near_duplicate_pairs` expands them to all pairs of ids, in blocks of `LIMIT` ids of a class.
 
 Defined results: rows of one id count once; null ids and null contents are no cases; texts with
 fewer words than a shingle are never cases; equal texts are pairs; extra columns are ignored; an
@@ -33,18 +36,18 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .storage import cut
-from .vptree import VPTree, hamming
+from .vptree import Forest, VPTree
 
-HASHES = 256
-ROWS = 4
-BITS = 192
+HASHES = 288
+ROWS = 3
+BITS = 256
 LIMIT = 4096
 _CHUNK = 1 << 20
 _WORDS = BITS // 64
 _FP = [f"f{k}" for k in range(_WORDS)]
 
 
-def radius(threshold: float, hashes: int = BITS, deviations: float = 4.5) -> int:
+def radius(threshold: float, hashes: int = BITS, deviations: float = 3.5) -> int:
     """Hamming distance that a pair at the threshold exceeds only beyond so many standard deviations."""
     p = (1 - threshold) / 2
     return int(np.ceil(hashes * p + deviations * np.sqrt(hashes * p * (1 - p))))
@@ -121,27 +124,8 @@ def _points(batch: pa.RecordBatch) -> np.ndarray:
 
 def _pairs_of_runs(shard: np.ndarray, points: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows within the radius in each run of equal shards; rows are sorted by shard."""
-    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    length = np.diff(np.append(cuts, len(shard)))
-    left, right = [], []
-    small = length <= 16
-    pos = np.arange(len(shard)) - np.repeat(cuts, length)
-    room = np.where(np.repeat(small, length), np.repeat(length, length) - pos, 0)
-    for d in range(1, 16):  # short runs: a tree would be one leaf
-        i = np.flatnonzero(room > d)
-        if not len(i):
-            break
-        i = i[hamming(points[i], points[i + d]) <= r]
-        left.append(i)
-        right.append(i + d)
-    for a, n in zip(cuts[~small].tolist(), length[~small].tolist()):
-        own = points[a : a + n]
-        for q, p in VPTree(own).within(own, r):
-            keep = q < p
-            left.append(a + q[keep])
-            right.append(a + p[keep])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    return Forest(points, r).pairs(start, np.diff(np.append(start, len(shard))))
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray, over: pa.RecordBatch | None = None) -> pa.RecordBatch:
@@ -284,13 +268,20 @@ def near_duplicate_pairs(
 ) -> DataFrame:
     """(id_a, id_b): all pairs of keys, the smaller first, whose texts' shingle sets are that similar."""
     classes, pairs = near_duplicate_classes(docs, key, text, threshold, width)
-    a = classes.select(F.col("h").alias("a"), F.col("k").alias("x"))
-    b = classes.select(F.col("h").alias("b"), F.col("k").alias("y"))
-    apart = pairs.join(a, "a").join(b, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    copies = classes.join(several, "h", "left_semi").select("h", F.col("k").alias("id_a"))
-    equal = copies.join(copies.select("h", F.col("id_a").alias("id_b")), "h").where("id_a < id_b")
-    return apart.unionByName(equal.select("id_a", "id_b"))
+    sizes = classes.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LIMIT).cast("int").alias("n"))
+    blocked = classes.join(sizes, "h").withColumn("i", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    side = lambda h, k, i: blocked.select(F.col("h").alias(h), F.col("k").alias(k), F.col("i").alias(i))
+    blocks = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one, two = side("a", "x", "i"), side("b", "y", "j")
+    for end, n in (("a", "na"), ("b", "nb")):
+        pairs = pairs.join(sizes.select(F.col("h").alias(end), F.col("n").alias(n)), end)
+    apart = pairs.withColumn("i", blocks("na")).withColumn("j", blocks("nb")).join(one, ["a", "i"]).join(two, ["b", "j"])
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("a"), F.ceil(F.col("n") / LIMIT).cast("int").alias("na"))
+    own = several.withColumn("b", F.col("a")).withColumn("i", blocks("na")).withColumn("j", blocks("na"))
+    equal = own.join(one, ["a", "i"]).join(two, ["b", "j"]).where("x < y")
+    return apart.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(
+        equal.select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    )
 
 
 def near_duplicate_classes(

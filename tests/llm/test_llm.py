@@ -25,7 +25,7 @@ from larkspur.llm.main_body import main_body, not_main_body
 from larkspur.llm.packing import pack
 from larkspur.llm.repeated_lines import repeated_lines, site_of, without_repeated_lines
 from larkspur.llm.tokenizer import LONG, VOCABULARY, encode_corpus, vocabulary
-from larkspur.llm.vptree import VPTree, hamming
+from larkspur.llm.vptree import Forest, VPTree, hamming
 
 from .helpers import edited, families, folded_line, jaccard, look, prose, shingle_set, words
 
@@ -84,6 +84,23 @@ def test_vantage_point_tree(n, r):
     assert got == {(int(i), int(j)) for i, j in np.argwhere(full <= r)}
 
 
+@pytest.mark.parametrize("r", [0, 40, 75, 110, 192])
+def test_forest(r):
+    rng = np.random.default_rng(r)
+    base = rng.integers(0, 2**63, (40, 3), dtype=np.uint64)
+    pts = base[rng.integers(0, 40, 700)]
+    pts[:, 0] ^= np.uint64(1) << rng.integers(0, 63, 700).astype(np.uint64)
+    length = np.array([1, 2, 3, 0, 4, 5, 90, 1, 594])
+    start = np.cumsum(length) - length
+    forest = Forest(pts, r)
+    got = [tuple(sorted(p)) for p in zip(*(x.tolist() for x in forest.pairs(start, length)))]
+    full = hamming(pts[:, None, :], pts[None, :, :])
+    want = {(i, j) for s, n in zip(start.tolist(), length.tolist()) for i in range(s, s + n) for j in range(i + 1, s + n) if full[i, j] <= r}
+    assert len(got) == len(set(got)) and set(got) == want
+    if r <= 40:  # groups are told apart
+        assert forest.compared < 0.4 * (length * (length - 1) // 2).sum()
+
+
 def brute_pairs(rows, threshold, width):
     seen = {}
     for i, t in rows:
