@@ -26,7 +26,8 @@ its prefixes with themselves.  Decisions are taken in rounds: rows without an un
 are accepted, their partners are cases.
 
 Broadcasts: the sketch (a byte a cell, `MOST_CELLS` at most), and the parity bits of a batch, which is
-taken in blocks of `BLOCK` texts (9 MB) for that.  The driver gets the numbers of ranges and of text
+taken in blocks of `BLOCK` texts (9 MB) for that, and the keys of texts to verify in blocks of `KEYS`
+(8 MB), so that only those texts are shuffled.  The driver gets the numbers of ranges and of text
 parts, never keys.
 
 Defined results: null, empty and blank contents and those with fewer words than a shingle are never
@@ -57,6 +58,8 @@ CELL_BYTES, LEAST_CELLS, MOST_CELLS = 16, 1 << 16, 1 << 25
 #: Bytes of text for a range of tokens, and bounds of the ranges.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 8_000_000, 8, 16384
 BLOCK = 1 << 16
+#: Keys of texts to verify that are broadcast at once.
+KEYS = 1 << 20
 _SKETCH_PARTS = 64
 
 
@@ -314,8 +317,12 @@ class HistoryIndex:
     def _verify(self, pairs: DataFrame, own: DataFrame, batch: int) -> DataFrame:
         """The pairs whose texts have the similarity."""
         parts = [r[0] for r in pairs.where("old").select("part").distinct().collect()]  # numbers of parts
-        left = self._texts(batch, parts).select(F.col("id").alias("a"), F.col("t").alias("ta"))
-        old = left.join(pairs.where("old").hint("shuffle_hash"), "a")
+        stored = self._texts(batch, parts)
+        blocks = -(-pairs.count() // KEYS)
+        wanted = pairs.where("old").select(F.col("a").alias("id")).distinct()
+        chosen = [stored.join(F.broadcast(wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)), "id", "left_semi") for b in range(blocks)]
+        left = functools.reduce(DataFrame.unionByName, chosen) if chosen else stored.where("false")
+        old = left.select(F.col("id").alias("a"), F.col("t").alias("ta")).join(pairs.where("old"), "a")
         new = own.select(F.col("id").alias("a"), F.col("t").alias("ta")).join(pairs.where("not old"), "a")
         both = old.unionByName(new).join(own.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "old", "ta", "tb")
         width, threshold = self.width, self.threshold
