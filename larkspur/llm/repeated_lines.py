@@ -3,12 +3,17 @@
 Method: content-defined chunking.  Each text is reduced to comparable characters (white space runs
 as one blank, lower case) and cut where a rolling hash over the last `WINDOW` characters meets a
 fixed pattern.  Since the result is asked by line, a line's end also closes a chunk and no window
-reaches over it; so equal lines give equal chunks whatever surrounds them.  The distinct documents
-of each (site, chunk) are counted; a line all of whose chunks are repeated is a candidate, and the
-lines of several chunks are counted once more as whole lines, which makes the result exact.
+reaches over it; so equal lines give equal chunks whatever surrounds them, and a chunk knows whether it
+is a whole line.  The distinct documents of each (site, chunk) are counted; a chunk that is a whole line
+decides it, a line of several chunks is a candidate when all of them are repeated, and candidates are counted
+once more as whole lines.  Keys have 128 bits, so two different lines share one with probability 1e-20
+for a billion lines; texts are not compared again.
 
-Shuffles: one partially aggregated count by chunk, and a semi-join of the chunks with the repeated
-ones; AQE splits a chunk that a large part of all documents carries.
+One pass over the texts gives every document's lines and chunks as one row of keys, written to the shared
+folder; everything after it is counting and joining of keys in the JVM.
+
+Shuffles: the texts once, to drop repeats of an id; one partially aggregated count by chunk, and a
+semi-join of the chunks with the repeated ones; AQE splits a chunk that a large part of all documents carries.
 
 Defined results: rows of one id count once; a url that is null or not http(s) has no site and its
 lines are never removed; blank lines are never cases; null or empty content has no lines; extra
@@ -25,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import cut as stored
 
 WINDOW = 16
 AVERAGE = 256
@@ -93,8 +99,15 @@ def chunk_borders(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return first, last, np.searchsorted(starts, first, "right") - 1
 
 
+_ROW = "no array<int>, n_chunks array<int>, key_a array<long>, key_b array<long>, line array<int>, chunk_a array<long>, chunk_b array<long>, fresh array<boolean>"
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns k, site, content -> k, line_no, n_chunks, line_key, chunk (hash with the site), fresh."""
+    """Columns k, site, content -> k and the keys of the document's lines and chunks; keys depend on the site.
+
+    no, n_chunks, key_a, key_b: one entry a line; line (which of the lines), chunk_a, chunk_b, fresh (the
+    first such chunk of the document): one entry a chunk.
+    """
     for batch in batches:
         _, byte_off = K.string_buffer(batch.column(2))
         lo = 0
@@ -106,27 +119,30 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(s):
                 continue
             raw, off = K.string_buffer(part.column(1))
-            site = K.SegmentHash(raw, 3)(off[:-1], off[1:])
-            h = K.SegmentHash(chars, 9)
-            salt = site[text]
-            line_key = K.mix64(h(s, e) * np.uint64(3) + salt)
             a, b, line = chunk_borders(chars, s, e)
-            chunk = K.mix64(h(a, b) * np.uint64(3) + salt[line])
+            n_chunks = np.bincount(line, minlength=len(s))
+            whole = (n_chunks[line] == 1).astype(np.uint64)
+            keys = []
+            for seed in (9, 10):
+                site = K.SegmentHash(raw, seed)(off[:-1], off[1:])[text]
+                h = K.SegmentHash(chars, seed)
+                keys += [K.mix64(h(s, e) * np.uint64(3) + site), K.mix64(h(a, b) * np.uint64(5) + site[line] + whole)]
+            chunk = keys[1]
             order = np.lexsort((chunk, text[line]))
             fresh = np.ones(len(chunk), bool)
             t, c = text[line][order], chunk[order]
             fresh[order[1:]] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            n_chunks = np.bincount(line, minlength=len(s))
+            rows = np.unique(text)
+            by_line, by_chunk = (np.searchsorted(x, np.append(rows, part.num_rows)).astype(np.int32) for x in (text, text[line]))
+            lists = lambda to, x: pa.ListArray.from_arrays(pa.array(to), pa.array(x))
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0).take(pa.array(text[line])),
-                    pa.array(number[line].astype(np.int32)),
-                    pa.array(n_chunks[line].astype(np.int32)),
-                    pa.array(line_key[line].view(np.int64)),
-                    pa.array(chunk.view(np.int64)),
-                    pa.array(fresh),
+                    part.column(0).take(pa.array(rows)),
+                    *(lists(by_line, x) for x in (number.astype(np.int32), n_chunks.astype(np.int32), keys[0].view(np.int64), keys[2].view(np.int64))),
+                    lists(by_chunk, (line - by_line[np.searchsorted(rows, text[line])]).astype(np.int32)),
+                    *(lists(by_chunk, x) for x in (chunk.view(np.int64), keys[3].view(np.int64), fresh)),
                 ],
-                ["k", "line_no", "n_chunks", "line_key", "chunk", "fresh"],
+                ["k", "no", "n_chunks", "key_a", "key_b", "line", "chunk_a", "chunk_b", "fresh"],
             )
 
 
@@ -140,17 +156,20 @@ def repeated_lines(
         .dropDuplicates(["k"])
     )
     kind = src.schema["k"].dataType.simpleString()
-    chunks = src.mapInArrow(
-        _chunk_rows, f"k {kind}, line_no int, n_chunks int, line_key long, chunk long, fresh boolean"
-    )
-    hot = chunks.where("fresh").groupBy("chunk").count().where(F.col("count") >= min_docs).select("chunk")
-    held = chunks.drop("fresh").join(hot, "chunk", "left_semi")
-    single = held.where("n_chunks = 1").select("k", "line_no")
-    several = held.where("n_chunks > 1").groupBy("k", "line_no", "n_chunks", "line_key").count()
-    several = several.where("count = n_chunks").select("k", "line_no", "line_key")
-    sure = several.select("line_key", "k").distinct().groupBy("line_key").count().where(F.col("count") >= min_docs)
-    several = several.join(sure.select("line_key"), "line_key", "left_semi").select("k", "line_no")
-    return single.unionByName(several).select(F.col("k").alias(key), "line_no")
+    rows = stored(src.mapInArrow(_chunk_rows, f"k {kind}, {_ROW}"))
+    chunk = ["chunk_a", "chunk_b"]
+    first = F.filter(F.arrays_zip("chunk_a", "chunk_b", "fresh"), lambda c: c["fresh"])
+    hot = rows.select(F.inline(first)).groupBy(*chunk).count().where(F.col("count") >= min_docs).select(*chunk)
+    every = rows.select("k", "no", "n_chunks", "key_a", "key_b", F.inline(F.arrays_zip("line", *chunk)))
+    at = lambda c: F.col(c)[F.col("line")].alias(c)
+    held = every.select("k", at("no"), at("n_chunks"), at("key_a"), at("key_b"), *chunk).join(hot, chunk, "left_semi")
+    single = held.where("n_chunks = 1").select("k", "no")
+    line = ["key_a", "key_b"]
+    several = held.where("n_chunks > 1").groupBy("k", "no", "n_chunks", *line).count()
+    several = several.where("count = n_chunks").select("k", "no", *line)
+    sure = several.select(*line, "k").distinct().groupBy(*line).count().where(F.col("count") >= min_docs)
+    several = several.join(sure.select(*line), line, "left_semi").select("k", "no")
+    return single.unionByName(several).select(F.col("k").alias(key), F.col("no").alias("line_no"))
 
 
 def without_repeated_lines(
