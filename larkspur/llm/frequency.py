@@ -7,7 +7,8 @@ shuffle brings the arrays of a range together, where the terms are encoded by th
 the dictionary and the count arrays are summed by identifier.
 
 Only per-block sums are shuffled, never single tokens, so a term that fills a third of the
-collection costs one entry a block.  A range's memory is its distinct terms plus a fixed buffer.
+collection costs one entry a block.  A range is one task; its memory is its distinct terms plus a fixed
+buffer, and the number of ranges follows the number of tokens, which is counted first.
 
 Defined results: rows of one id count once (a null id is an id of its own); null and empty terms are
 left out; null or empty token lists hold no term but their ids count among all ids; terms are
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
+#: Tokens for an identifier range, and least number of ranges.
+RANGE_TOKENS, LEAST_RANGES = 1 << 21, 16
 _BLOCK = 1 << 20
 _BUFFER = 1 << 20
 _PIECE = 1 << 14
@@ -62,11 +65,13 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
 def count_terms(docs: DataFrame, key: str = "id", tokens: str = "tokens", ranges: int | None = None) -> DataFrame:
     """(term, term_id, occurrences, records) of every distinct term, one row each.
 
-    ranges: number of identifier ranges; the session's shuffle partitions, 32 at least, if None.
+    ranges: number of identifier ranges; if None one for `RANGE_TOKENS` tokens, `LEAST_RANGES` at least.
     term_id: range number * 2**40 + place of the term in its range.
     """
-    spark = docs.sparkSession
-    parts = ranges or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = ranges
+    if parts is None:
+        held = docs.agg(F.sum(F.size(F.coalesce(F.col(tokens), F.array()))).alias("n")).first()["n"] or 0
+        parts = max(LEAST_RANGES, -(-held // RANGE_TOKENS))
     once = docs.select(F.col(key).alias("k"), F.col(tokens).alias("t")).dropDuplicates(["k"]).select("t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +125,7 @@ def count_terms(docs: DataFrame, key: str = "id", tokens: str = "tokens", ranges
             del held[of]
 
     arrays = once.mapInArrow(count, "range int, terms array<string>, occ array<long>, rec array<long>")
-    return arrays.repartition(parts, "range").mapInArrow(
+    return arrays.repartitionById(parts, F.col("range")).mapInArrow(  # a range is a task
         add, "term string, term_id long, occurrences long, records long"
     )
 
