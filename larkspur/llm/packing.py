@@ -176,7 +176,7 @@ def pack(
             )
 
     number = F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("s")
-    out = src.select("k", "t", number).repartition(shards, "s").mapInArrow(
+    out = src.select("k", "t", number).repartitionById(shards, F.col("s")).mapInArrow(  # a shard is a task
         run, f"container long, k {kind}, piece_no int, token_start int, n_tokens int"
     )
     return out.withColumnRenamed("k", key)
