@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,39 +14,46 @@ from .text import BLANK, trim_space
 _PIECES = r"(?is)<!--.*?(?:-->|$)|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>|<textarea\b[^>]*>.*?</textarea\s*>|</?[a-zA-Z!?/][^>]*>|[^<]+|<"
 _RAW = r"(?is)^<(script|style|title|textarea)\b[^>]*>(.*)</\1\s*>$"
 
-#: Named entities that are decoded, `&amp;` last.
-ENTITIES = [
-    ("&nbsp;?", " "), ("&copy;?", "©"), ("&reg;?", "®"), ("&middot;?", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&laquo;?", "«"), ("&raquo;?", "»"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"),
-    ("&ldquo;", "“"), ("&bull;", "•"), ("&euro;", "€"), ("&auml;?", "ä"), ("&ouml;?", "ö"), ("&uuml;?", "ü"),
-    ("&Auml;?", "Ä"), ("&Ouml;?", "Ö"), ("&Uuml;?", "Ü"), ("&szlig;?", "ß"), ("&eacute;?", "é"), ("&egrave;?", "è"),
-    ("&agrave;?", "à"), ("&ccedil;?", "ç"), ("&ntilde;?", "ñ"), ("&aacute;?", "á"), ("&iacute;?", "í"),
-    ("&oacute;?", "ó"), ("&uacute;?", "ú"), ("&times;?", "×"), ("&quot;?", '"'), ("&apos;", "'"), ("&#0*39;", "'"),
-    ("&#[xX]0*27;", "'"), ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&"),
-]
+#: A character reference, or text without one.
+_REFERENCES = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
+#: The named references of HTML 5 as one literal; those that may lack their semicolon, longest first.
+_NAMES = json.dumps(html5)
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+#: What numbers of the C1 range stand for: the characters of Windows-1252.
+_C1 = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
+
 
+def unescape(text: Column, attribute: bool = False) -> Column:
+    """Text with its character references decoded as HTML 5 has it, in one pass.
 
-def unescape(text: Column) -> Column:
-    """Text with its entities decoded: the named ones above, and numeric ones of one code point."""
-    out = text
-    for pattern, to in ENTITIES[:-1]:
-        out = F.regexp_replace(out, pattern, to.replace("\\", "\\\\").replace("$", "\\$"))
-    out = _numeric(out)
-    return F.regexp_replace(out, ENTITIES[-1][0], ENTITIES[-1][1])
+    A name without its semicolon counts for the old names only; in an attribute not before a `=`, nor as
+    the beginning of a longer name.
+    """
+    pattern = _REFERENCES.replace("[a-zA-Z0-9]*;?|", "[a-zA-Z0-9]*[;=]?|") if attribute else _REFERENCES
+    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("&#")), _number(p)).when(F.startswith(p, F.lit("&")), _name(p, attribute)).otherwise(p)), "")
 
 
-def _numeric(text: Column) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,4}|[0-9]{1,5});"), F.lit(0)))
+def _name(p: Column, attribute: bool) -> Column:
+    names = F.from_json(F.lit(_NAMES), "map<string,string>")
+    whole = F.substring(p, 2, 64)
+    if attribute:
+        return F.coalesce(F.try_element_at(names, whole), p)
+    bare = F.regexp_extract(whole, f"^(?:{_BARE})", 0)
+    part = F.when(bare != "", F.concat(F.try_element_at(names, bare), F.substring(whole, F.length(bare) + 1, F.lit(1 << 30))))
+    return F.coalesce(F.try_element_at(names, whole), F.when(F.length(p) <= 64, part), p)
 
-    def value(e: Column) -> Column:
-        body = F.regexp_extract(e, r"&#([xX]?)([0-9a-fA-F]+);", 2)
-        hexed = F.regexp_extract(e, r"&#([xX]?)([0-9a-fA-F]+);", 1) != ""
-        code = F.when(hexed, F.conv(body, 16, 10)).otherwise(body).cast("int")
-        safe = F.when((code <= 0) | (code > 65535) | code.between(55296, 57343), F.lit(65533)).otherwise(code)
-        return F.decode(F.unhex(F.lpad(F.hex(safe), 4, "0")), "UTF-16BE")
 
-    done = F.aggregate(found, text, lambda s, e: F.replace(s, e, value(e)))
-    return F.when(F.contains(text, F.lit("&#")), done).otherwise(text)
+def _number(p: Column) -> Column:
+    hexed = F.regexp_extract(p, r"^&#[xX]0*([0-9a-fA-F]+)", 1)
+    digits = F.regexp_extract(p, r"^&#0*([0-9]+)", 1)
+    body = F.when(hexed != "", hexed).otherwise(digits)
+    small = F.length(body) <= 8
+    code = F.when(small & (hexed != ""), F.conv(hexed, 16, 10)).when(small & (digits != ""), digits).cast("bigint")
+    bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(code)), 8, "0")), "UTF-32")
+    old = F.substring(F.lit(_C1), (code - 127).cast("int"), F.lit(1))
+    return F.when(body == "", p).when(code.between(128, 159), old).otherwise(char)
 
 
 def _pieces(html: Column) -> Column:
@@ -54,7 +64,7 @@ def title(html: Column) -> Column:
     """The first title element whose trimmed text is not empty; else an empty string."""
     visible = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?(?:-->|$)|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")
     found = F.regexp_extract_all(visible, F.lit(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|$)"), F.lit(1))
-    texts = F.filter(F.transform(found, lambda x: trim_space(unescape(x))), lambda x: x != "")
+    texts = F.filter(F.transform(found, lambda x: trim_space(F.when(F.contains(x, F.lit("&")), unescape(x)).otherwise(x))), lambda x: x != "")
     return F.coalesce(F.get(texts, F.lit(0)), F.lit(""))
 
 
@@ -77,7 +87,7 @@ def hrefs(html: Column) -> Column:
     pattern = r"""(?is)<a(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
     found = F.regexp_extract_all(shown, F.lit(pattern), F.lit(1))
     bare = F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
-    return F.transform(bare, lambda x: F.when(F.contains(x, F.lit("&")), unescape(x)).otherwise(x))
+    return F.transform(bare, lambda x: F.when(F.contains(x, F.lit("&")), unescape(x, attribute=True)).otherwise(x))
 
 
 def join_path(base: Column, link: Column) -> Column:

@@ -420,11 +420,14 @@ _PIECES = r"<!--.*?(?:-->|$)|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</s
 _BLANK = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: The references that the SQL twins decode, `&amp;` last.
+_SQL_ENTITIES = [("&nbsp;?", "\u00a0"), ("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&")]
+
+
 def _unescape_sql(x: str) -> str:
     out = x
-    for pattern, to in H.ENTITIES:
-        if any(n in pattern for n in ("nbsp", "copy", "middot", "quot", "lt", "gt", "amp")):
-            out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    for pattern, to in _SQL_ENTITIES:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return out
 
 

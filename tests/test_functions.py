@@ -140,3 +140,21 @@ def test_config():
     assert SemanticParams(0, 0, 0) == SemanticParams()
     c = ServiceConfig.from_env({"KAFKA_BROKERS": "a:1, b:2", "SNAPSHOT_INTERVAL": "x", "INDEXER_GROUP": ""})
     assert c.brokers == ["a:1", "b:2"] and c.snapshot_interval == 60 and c.indexer_group == "indexer-service"
+
+
+REFERENCES = {
+    "&pound;5 &#128512; &euro; &trade; &Eacute; caf&eacute;": "£5 \U0001f600 € ™ É café",
+    "&amp;lt; &lt;b&gt; &copy2021 &notit; &notin; &#x41; &#65 &#150;": "&lt; <b> ©2021 ¬it; ∉ A A –",
+    "&#0; &#xD800; &#99999999999; &#x; &; & x && &nosuch; &Aacute &nbsp;x": "\ufffd \ufffd \ufffd &#x; &; & x && &nosuch; Á \xa0x",
+    "&NotEqualTilde; &fjlig; plain": "≂̸ fj plain",
+    "&#x1F469;&#x200D;&#x1F527;": "\U0001f469\u200d\U0001f527",
+    "": "",
+}
+
+
+def test_character_references(spark):
+    rows = spark.createDataFrame([(t,) for t in [*REFERENCES, None]], "t string").select("t", H.unescape(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == {**REFERENCES, None: None}
+    page = "<title>&Uuml;ber &#128512;</title><p>5 &pound; &hellip;</p><a href='?a=1&copy=2&amp;b=3&lt;&copyx&#x41;'>x</a>"
+    got = spark.createDataFrame([(page,)], "h string").select(H.title("h").alias("t"), H.text(F.col("h")).alias("x"), H.hrefs(F.col("h")).alias("l")).first()
+    assert got.t == "Über \U0001f600" and got.x == "Über \U0001f600 5 £ … x " and got.l == ["?a=1&copy=2&b=3<&copyxA"]
