@@ -36,11 +36,9 @@ class SearchService:
         if self.semantic is None:
             return ranked(lexical, k)
         near = self.semantic.query(query, max(k, self.params.semantic_floor), exact)
-        fused = fuse(lexical, near, self.params, "doc_id")
-        known = self.semantic.vectors is not None
-        if known:  # semantic hits must be stored documents; lexical ones are by construction
-            fused = fused.join(self.index.docs.select("doc_id"), "doc_id", "left_semi")
-        return ranked(fused, k)
+        # semantic hits must be stored documents; lexical ones are by construction
+        near = self.index.docs.select("doc_id").join(F.broadcast(near) if k > 0 else near, "doc_id")
+        return ranked(fuse(lexical, near, self.params, "doc_id"), k)
 
     def search(self, query: str, k: int = 10, exact: bool = False) -> DataFrame:
         """(doc_id, score, title, snippet, url) of the k best documents; no rows for a query without tokens."""

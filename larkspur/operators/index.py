@@ -1,8 +1,9 @@
 """Lexical index tables: documents, postings, term statistics and corpus statistics.
 
 Layout when stored: `docs` (latest version of each id), `postings` in folders by a hash of the term
-and sorted by term within a file, `term_stats`, `corpus_stats`.  Point look-ups prune folders by the
-hash and row groups by the term.
+and sorted by term within a file, `term_stats`, `corpus_stats`, `layout`.  Point look-ups prune folders by the
+hash and row groups by the term.  The number of folders follows the number of tokens; a term held by more
+than `HOT_DOCS` documents is cut into as many parts as it has multiples of them, so no task writes all of it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize, tokens_or
 
-TERM_BUCKETS = 16
+#: Tokens for a folder of postings, and bounds of the folders; documents of a term for a part of it.
+BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 50_000_000, 16, 4096
+HOT_DOCS = 1_000_000
 
 
 def from_texts(df: DataFrame, key: str = "doc_id", text: str = "text", scheme: str = "doc://") -> DataFrame:
@@ -55,6 +58,12 @@ def term_stats_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def document_frequency_of(docs: DataFrame) -> DataFrame:
+    """(term, df) straight from documents with lengths: one partially aggregated shuffle of terms."""
+    terms = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).where("term is not null")
+    return term_stats_of(terms)
+
+
 def corpus_stats_of(docs: DataFrame) -> DataFrame:
     """One row: n_docs, total_tokens, avgdl (0 for an empty collection)."""
     return docs.agg(
@@ -64,8 +73,8 @@ def corpus_stats_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass
@@ -76,47 +85,52 @@ class LexicalIndex:
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
-    stored: bool = False
+    buckets: int = 0  # folders of stored postings; 0: not stored
 
     @classmethod
     def build(cls, docs: DataFrame) -> LexicalIndex:
         """Index of documents (doc_id, url, title, content, tokens), one row an id."""
         full = with_lengths(docs)
         postings = postings_of(full)
-        return cls(full, postings, term_stats_of(postings), corpus_stats_of(full))
+        return cls(full, postings, document_frequency_of(full), corpus_stats_of(full))
 
     def save(self, folder: str) -> LexicalIndex:
         """Write the tables and return the stored index."""
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
         full = spark.read.parquet(f"{folder}/docs")
-        rows = postings_of(full).withColumn("tb", bucket_of(F.col("term")))
+        corpus_stats_of(full).coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus_stats")
+        document_frequency_of(full).write.mode("overwrite").parquet(f"{folder}/term_stats")
+        tokens = spark.read.parquet(f"{folder}/corpus_stats").first()["total_tokens"]
+        buckets = min(max(-(-tokens // BUCKET_TOKENS), LEAST_BUCKETS), MOST_BUCKETS)
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/layout")
+        # no more hot terms than the collection has multiples of HOT_DOCS postings
+        hot = spark.read.parquet(f"{folder}/term_stats").where(F.col("df") > HOT_DOCS).select("term", F.ceil(F.col("df") / HOT_DOCS).alias("parts"))
+        rows = postings_of(full).withColumn("tb", bucket_of(F.col("term"), buckets)).join(F.broadcast(hot), "term", "left")
+        part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))
         (
-            rows.repartition("tb", "term")
+            rows.withColumn("part", part)
+            .repartition("tb", "term", "part")
             .sortWithinPartitions("tb", "term")
+            .select("term", "doc_id", "tf", "doc_len", "tb")
             .write.mode("overwrite")
             .partitionBy("tb")
             .parquet(f"{folder}/postings")
         )
-        postings = spark.read.parquet(f"{folder}/postings")
-        term_stats_of(postings).write.mode("overwrite").parquet(f"{folder}/term_stats")
-        corpus_stats_of(full).coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus_stats")
         return self.load(spark, folder)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> LexicalIndex:
         read = lambda name: spark.read.parquet(f"{folder}/{name}")
-        return cls(read("docs"), read("postings"), read("term_stats"), read("corpus_stats"), True)
+        return cls(read("docs"), read("postings"), read("term_stats"), read("corpus_stats"), read("layout").first()["buckets"])
 
     # -- look-ups ---------------------------------------------------------------------------
 
     def postings_for(self, terms: list[str]) -> DataFrame:
         """Postings of the given terms; prunes folders and row groups of a stored index."""
         rows = self.postings.where(F.col("term").isin(terms) if terms else F.lit(False))
-        if self.stored and terms:
-            spark = self.docs.sparkSession
-            hashes = spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term")).alias("b"))
-            rows = rows.where(F.col("tb").isin(sorted({r.b for r in hashes.collect()})))
+        if self.buckets and terms:  # the hashes are folded into literals, without a job
+            rows = rows.where(F.col("tb").isin([bucket_of(F.lit(t), self.buckets) for t in terms]))
         return rows.select("term", "doc_id", "tf", "doc_len")
 
     def document(self, doc_id: str) -> DataFrame:

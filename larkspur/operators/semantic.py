@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SemanticParams
@@ -16,6 +16,8 @@ from .rank import DIGITS, query_tokens, ranked
 
 #: Queries of one block of a batch search.
 QUERY_BLOCK = 2048
+#: Vectors of the smallest ids that a stored index keeps apart, for filling up candidates.
+FILL = 1000
 
 
 def planes(params: SemanticParams) -> list[list[int]]:
@@ -104,19 +106,22 @@ class SemanticIndex:
 
     vectors: DataFrame
     params: SemanticParams
+    first: DataFrame | None = None  # the vectors of the `FILL` smallest ids, of a stored index
 
     @classmethod
     def build(cls, docs: DataFrame, params: SemanticParams = SemanticParams()) -> SemanticIndex:
         return cls(with_signatures(embeddings(docs, params), params), params)
 
     def save(self, folder: str) -> SemanticIndex:
-        """Write the vectors sorted by signature, so that a bucket look-up prunes row groups."""
+        """Write the vectors sorted by signature, so that a bucket look-up prunes row groups, and those of the smallest ids."""
+        spark = self.vectors.sparkSession
         self.vectors.repartitionByRange("sig").sortWithinPartitions("sig").write.mode("overwrite").parquet(f"{folder}/vectors")
-        return self.load(self.vectors.sparkSession, folder, self.params)
+        spark.read.parquet(f"{folder}/vectors").orderBy("doc_id").limit(FILL).coalesce(1).write.mode("overwrite").parquet(f"{folder}/first")
+        return self.load(spark, folder, self.params)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, params: SemanticParams = SemanticParams()) -> SemanticIndex:
-        return cls(spark.read.parquet(f"{folder}/vectors"), params)
+        return cls(spark.read.parquet(f"{folder}/vectors"), params, spark.read.parquet(f"{folder}/first"))
 
     def reset(self) -> SemanticIndex:
         """An index of the same parameters without vectors."""
@@ -138,11 +143,12 @@ class SemanticIndex:
         bucket = self.vectors.where(F.col("sig") == self.query_signature(query))
         if k <= 0:
             return bucket
-        b = bucket.select("doc_id").limit(k).count()
-        if b >= k:
-            return bucket
-        fill = self.vectors.orderBy("doc_id").limit(max(5 * k - b, 0))
-        return bucket.unionByName(fill).dropDuplicates(["doc_id"])
+        source = self.first if self.first is not None and 5 * k <= FILL else self.vectors
+        fill = source.orderBy("doc_id").limit(5 * k).withColumn("r", F.row_number().over(Window.orderBy("doc_id")))  # of 5k rows
+        held = bucket.agg(F.count(F.lit(1)).alias("b"))  # one row
+        fill = fill.crossJoin(F.broadcast(held)).where((F.col("b") < k) & (F.col("r") <= 5 * k - F.col("b")))
+        fill = fill.where(F.col("sig") != self.query_signature(query))  # those of the bucket are there already
+        return bucket.unionByName(fill.drop("r", "b"))
 
     def probed(self, query: str, radius: int) -> DataFrame:
         """Vectors of all buckets whose signature differs from the query's in at most `radius` bits."""
