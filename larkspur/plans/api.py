@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.parse
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from ..log import Log, Silent
 from ..operators.hybrid import SearchService
 from ..operators.metrics import Registry
 from ..operators.rank import query_tokens
@@ -27,9 +29,9 @@ def answer(service: SearchService | None, query: str, limit: int = LIMIT) -> str
     return results_json(service.search(query, limit))
 
 
-def make_server(service: SearchService | None, addr: tuple[str, int], registry: Registry | None = None) -> ThreadingHTTPServer:
+def make_server(service: SearchService | None, addr: tuple[str, int], registry: Registry | None = None, log: Log | None = None) -> ThreadingHTTPServer:
     """A server that is not yet running; serve_forever() starts it, shutdown() ends it."""
-    seen = registry or Registry()
+    seen, told = registry or Registry(), log or Silent()
 
     class Handler(BaseHTTPRequestHandler):
         timeout = 5
@@ -45,7 +47,12 @@ def make_server(service: SearchService | None, addr: tuple[str, int], registry:
                 body, status = answer(service, query_param(self.path)), "ok"
             except Exception as e:  # noqa: BLE001
                 body, status = str(e), "error"
-            seen.observe_request(status, time.monotonic() - began)
+            took = time.monotonic() - began
+            seen.observe_request(status, took)
+            if status == "ok":
+                told.info("search", query=repr(query_param(self.path)), results=len(json.loads(body) or []), ms=round(took * 1000))
+            else:
+                told.error("search_failed", body)
             self._send(200 if status == "ok" else 500, "application/json", body)
 
         def _send(self, code: int, kind: str, body: str) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import document_id
+from ..log import Log, Silent
 from ..schema import MESSAGE, SNAPSHOT
 
 Fetcher = Callable[[str], str]
@@ -109,15 +110,25 @@ def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def try_load_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The snapshot's documents; None if there is no such file or it cannot be read."""
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a file lies there, in whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(p)) and not fs.getFileStatus(p).isDirectory()
+
+
+def try_load_snapshot(spark: SparkSession, path: str, log: Log | None = None) -> DataFrame | None:
+    """The snapshot's documents; None if there is no such file or it cannot be read, which is logged."""
+    log = log or Silent()
     try:
-        if not os.path.isfile(path.removeprefix("file://")):
+        if not is_file(spark, path):
+            log.info("snapshot_missing", path=path)
             return None
         docs = load_snapshot(spark, path)
-        docs.limit(1).count()
+        log.info("snapshot_loaded", path=path, documents=docs.count())
         return docs
-    except Exception:  # noqa: BLE001 - an unreadable snapshot leaves the service empty
+    except Exception as e:  # noqa: BLE001 - an unreadable snapshot leaves the service empty
+        log.error("snapshot_load_failed", e, path=path)
         return None
 
 
@@ -153,6 +164,11 @@ def encode_messages(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def topic_options(brokers: list[str], topic: str, group: str) -> dict[str, str]:
+    """Options of a topic read by a consumer group."""
+    return {"kafka.bootstrap.servers": ",".join(brokers), "subscribe": topic, "kafka.group.id": group, "startingOffsets": "earliest", "failOnDataLoss": "false"}
+
+
 def message_stream(spark: SparkSession, options: dict[str, str], files: str | None = None) -> DataFrame:
     """A streaming table (value, seq): lines of files that arrive in a folder, or a topic of a broker.
 

@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..log import Log, Silent
 from .files import encode_messages
 
 
@@ -21,6 +22,24 @@ def write_messages(docs: DataFrame, path: str | None = None, options: dict[str,
         rows.write.format("kafka").options(**(options or {})).save()
 
 
+def topic_sink_options(brokers: list[str], topic: str) -> dict[str, str]:
+    """Options of a topic that documents are written to: acknowledged by all replicas, sent every 10 ms."""
+    return {"kafka.bootstrap.servers": ",".join(brokers), "topic": topic, "kafka.acks": "all", "kafka.linger.ms": "10"}
+
+
+class MessageSink:
+    """Takes documents and publishes them as messages; a failed write is logged and does not end the crawl."""
+
+    def __init__(self, path: str | None = None, options: dict[str, str] | None = None, log: Log | None = None):
+        self.path, self.options, self.log = path, options, log or Silent()
+
+    def __call__(self, docs: DataFrame) -> None:
+        try:
+            write_messages(docs, self.path, self.options)
+        except Exception as e:  # noqa: BLE001
+            self.log.error("message_write_failed", e)
+
+
 def snapshot_rows(docs: DataFrame) -> DataFrame:
     """(id, url, title, tokens, content) in order of the ids, as a snapshot holds them."""
     return docs.select(F.col("doc_id").alias("id"), "url", "title", "tokens", "content").orderBy("id")
@@ -32,6 +51,8 @@ def write_snapshot(docs: DataFrame, path: str) -> None:
     Rows stream through the driver one partition at a time; the durable store is the index's tables,
     this file is an export for small collections.
     """
+    if "://" in path and not path.startswith("file://"):
+        return _write_remote(docs, path)
     path = path.removeprefix("file://")
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
@@ -47,6 +68,19 @@ def write_snapshot(docs: DataFrame, path: str) -> None:
     os.replace(part, path)
 
 
+def _write_remote(docs: DataFrame, path: str) -> None:
+    """The same file in another file system: written beside the driver, copied, then moved into place."""
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
+    hadoop = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = hadoop(path).getFileSystem(conf)
+    with tempfile.TemporaryDirectory() as local:
+        write_snapshot(docs, f"{local}/snapshot")
+        fs.copyFromLocalFile(False, True, hadoop(f"file://{local}/snapshot"), hadoop(path + ".part"))
+    fs.delete(hadoop(path), False)
+    if not fs.rename(hadoop(path + ".part"), hadoop(path)):
+        raise OSError(f"snapshot could not be moved to {path}")
+
+
 def results_json(results: DataFrame | None) -> str:
     """Search results as a JSON list; null where there was nothing to search for."""
     if results is None:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this machine only where none is named."""
+    """The folder named by spark.checkpoint.dir; a folder of this machine only where none is named and all tasks run on it."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
     return sc.getCheckpointDir()
 

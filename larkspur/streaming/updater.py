@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..log import Log, Silent
 from ..operators.index import LexicalIndex, latest
 from ..operators.metrics import Registry
 from ..sources.files import decode_messages
@@ -57,10 +58,12 @@ class IndexUpdater:
         interval: float = 60.0,
         registry: Registry | None = None,
         clock: Callable[[], float] = time.monotonic,
+        log: Log | None = None,
     ):
         self.spark, self.folder = spark, folder
         self.snapshot, self.interval, self.clock = snapshot, interval, clock
         self.registry = registry or Registry()
+        self.log = log or Silent()
         self.skipped = 0
         self._last: float | None = None
         self._dirty = False
@@ -70,7 +73,10 @@ class IndexUpdater:
         counts = messages.select(decode_messages(F.col("value")).isNotNull().alias("ok")).agg(F.count_if("ok").alias("good"), F.count(F.lit(1)).alias("n")).first()
         decoded(messages).write.mode("overwrite").parquet(f"{self.folder}/log/batch_id={batch_id}")
         self.registry.index_updates += counts["good"]
-        self.skipped += counts["n"] - counts["good"]
+        bad = counts["n"] - counts["good"]
+        self.skipped += bad
+        if bad:
+            self.log.error("messages_undecodable", bad, batch=batch_id)
         self._dirty = self._dirty or counts["good"] > 0
         if counts["n"]:
             self._maybe_snapshot()
@@ -81,8 +87,19 @@ class IndexUpdater:
             try:
                 self.snapshot(self.documents())
                 self._last, self._dirty = now, False
-            except Exception:  # noqa: BLE001 - tried again with the next message
-                pass
+            except Exception as e:  # noqa: BLE001 - tried again with the next message
+                self.log.error("snapshot_failed", e)
+
+    def add(self, docs: DataFrame) -> None:
+        """Put documents into the log directly, as a sink of a crawl; they come after all batches so far."""
+        top = _log(self.spark, self.folder).agg(F.max("batch_id")).first()[0]
+        order = {"at": F.lit(None).cast("timestamp"), "file": F.lit(None).cast("string"), "n": F.monotonically_increasing_id()}
+        rows = docs.select("doc_id", "url", "title", "content", "tokens", "fetched_at").withColumns(order)
+        path = f"{self.folder}/log/batch_id={0 if top is None else max(top, -1) + 1}"
+        rows.write.mode("overwrite").parquet(path)
+        added = self.spark.read.parquet(path).count()
+        self.registry.index_updates += added
+        self._dirty = self._dirty or added > 0
 
     def documents(self) -> DataFrame:
         return current(self.spark, self.folder)
