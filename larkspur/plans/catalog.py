@@ -15,12 +15,13 @@ from ..functions.text import document_id, fnv1a, snippet, tokenize
 from ..functions.vector import cosine, dot, magnitude
 from ..operators.hybrid import SearchService
 from ..operators.index import LexicalIndex, corpus_stats_of, from_texts, latest, postings_of, term_stats_of, with_lengths
-from ..operators.metrics import BUCKETS, labelled_counts, latency_histogram
+from ..operators.metrics import BUCKETS, Registry, labelled_counts, latency_histogram
 from ..operators.rank import bm25, query_tokens, ranked
 from ..operators.semantic import SemanticIndex, embed_query, embeddings, nearest_many, planes
-from ..sources.files import decode_messages, encode_messages, from_table, parse_pages
-from ..sources.sinks import snapshot_rows
-from ..streaming.updater import IndexUpdater
+from ..sources.files import decode_messages, encode_messages, fetching, from_table, load_snapshot, parse_pages, read_files
+from ..sources.sinks import snapshot_rows, write_snapshot
+from ..storage import checkpoint_dir
+from ..streaming.updater import IndexUpdater, current
 from .crawl import crawl, next_frontier
 
 PARAMS = SemanticParams()
@@ -33,12 +34,19 @@ VECTOR_QUERIES = 5
 VECTOR_STEP = 100
 #: Bits of a signature that `ann_topk_probed` lets differ.
 RADIUS = 11
+#: Pages that `crawl_budget` takes up.
+BUDGET = 200
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _work(spark: SparkSession, name: str) -> str:
+    """A folder of its own for the files of one run."""
+    return f"{checkpoint_dir(spark)}/{name}-{os.urandom(6).hex()}"
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return from_texts(_table(spark, d, "documents"))
 
@@ -226,12 +234,77 @@ def crawl_all(spark: SparkSession, d: str) -> DataFrame:
 def crawl_sites(spark: SparkSession, d: str) -> DataFrame:
     """As `crawl_all`, from the first url of each host only, so that the other pages are reached by links or not at all."""
     pages = _table(spark, d, "pages").where("url is not null and url <> ''")
-    seeds = pages.groupBy(F.regexp_extract("url", "^[a-z]+://[^/]*", 0)).agg(F.min("url").alias("url"))
-    got = crawl(seeds.select("url"), from_table(pages), CrawlParams(max_pages=None))
+    got = crawl(_site_seeds(pages), from_table(pages), CrawlParams(max_pages=None))
     found = got.documents.select("url", "depth", F.lit(True).alias("found"))
     return found.unionByName(got.errors.select("url", "depth", F.lit(False).alias("found")))
 
 
+def _site_seeds(pages: DataFrame) -> DataFrame:
+    return pages.groupBy(F.regexp_extract("url", "^[a-z]+://[^/]*", 0)).agg(F.min("url").alias("url")).select("url")
+
+
+def crawl_budget(spark: SparkSession, d: str) -> DataFrame:
+    """As `crawl_sites`, level by level, until the budget of pages is used up."""
+    pages = _table(spark, d, "pages").where("url is not null and url <> ''")
+    got = crawl(_site_seeds(pages), from_table(pages), CrawlParams(max_pages=BUDGET))
+    found = got.documents.select("url", "depth", F.lit(True).alias("found"))
+    return found.unionByName(got.errors.select("url", "depth", F.lit(False).alias("found")))
+
+
+def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What the counters say after a crawl from every page."""
+    pages = _table(spark, d, "pages").where("url is not null and url <> ''")
+    registry = Registry()
+    crawl(pages.select("url"), from_table(pages), CrawlParams(max_pages=None), registry=registry)
+    return spark.createDataFrame([("documents", registry.crawled), ("errors", registry.crawl_errors)], "counter string, n long")
+
+
+def fetched_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of all pages, written as one file each and fetched by their file urls."""
+    work = _work(spark, "fetch")
+    pages = _table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition("page_id").write.partitionBy("page_id").text(f"{work}/pages")
+    urls = read_files(spark, f"{work}/pages").select("url")
+    got = fetching(workers=int(spark.conf.get("spark.sql.shuffle.partitions")), politeness=0.0)(urls).where("error is null")
+    return parse_pages(got, "url", "body").select(F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "title")
+
+
+def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """All documents written as a snapshot file and loaded from it."""
+    path = f"{_work(spark, 'snapshot')}/s.json"
+    write_snapshot(_docs(spark, d), path)
+    return load_snapshot(spark, path).select("doc_id", "url", "title", "content")
+
+
+def _streamed(spark: SparkSession, messages: DataFrame, name: str) -> IndexUpdater:
+    """An updater that has taken in messages (value, n), n being their order, as a stream."""
+    work = _work(spark, name)
+    messages.write.parquet(f"{work}/in")
+    lines = spark.readStream.schema("value string, n long").parquet(f"{work}/in")
+    seq = F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("file"), F.col("n"))
+    updater = IndexUpdater(spark, f"{work}/index")
+    updater.start(lines.select("value", seq.alias("seq")), f"{work}/ck", availableNow=True).awaitTermination()
+    return updater
+
+
+def snapshot_and_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The latest content of every document of a snapshot and of the stream that follows it."""
+    columns = ["url", "title", "content", "tokens"]
+    docs = lambda name, *more: _table(spark, d, name).where("id is not null").select(F.col("id").alias("doc_id"), *columns, F.lit(None).cast("string").alias("fetched_at"), *more)
+    new = docs("snapshot_batches", "seq")
+    sent = encode_messages(new, "seq")
+    updater = _streamed(spark, sent.select("value", F.col("seq").alias("n")), "updates")
+    return current(spark, updater.folder, docs("snapshot_documents")).select("doc_id", "content")
+
+
+def stream_poison(spark: SparkSession, d: str) -> DataFrame:
+    """Ids indexed from a stream in which documents without a text are broken messages."""
+    docs = _docs(spark, d).withColumn("fetched_at", F.lit(None).cast("string"))
+    sent = encode_messages(docs, "content").withColumn("value", F.when(F.col("content") == "", F.lit('{"ID": ')).otherwise(F.col("value")))
+    updater = _streamed(spark, sent.select("value", F.lit(0).cast("long").alias("n")), "poison")
+    return updater.documents().select("doc_id", F.length("content").cast("bigint").alias("size"))
+
+
 def snapshot_export(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_rows(with_lengths(_docs(spark, d)))
 
@@ -244,9 +317,7 @@ def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_index(spark: SparkSession, d: str) -> DataFrame:
     """Document frequencies after streaming all documents as messages in several micro-batches."""
-    from ..storage import checkpoint_dir
-
-    work = f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}"
+    work = _work(spark, "stream")
     encode_messages(_docs(spark, d).withColumn("fetched_at", F.lit(None).cast("string"))).repartition(4).write.parquet(f"{work}/in")
     shape = "key string, value string"
     lines = spark.readStream.schema(shape).option("maxFilesPerTrigger", 2).parquet(f"{work}/in")
@@ -302,6 +373,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "crawl_frontier": crawl_frontier,
         "crawl_all": crawl_all,
         "crawl_sites": crawl_sites,
+        "crawl_budget": crawl_budget,
+        "crawl_counters": crawl_counters,
+        "fetched_titles": fetched_titles,
+        "snapshot_roundtrip": snapshot_roundtrip,
+        "snapshot_and_stream": snapshot_and_stream,
+        "stream_poison": stream_poison,
         "snapshot_export": snapshot_export,
         "json_roundtrip": json_roundtrip,
         "stream_index": stream_index,
@@ -466,6 +543,9 @@ reach(url, depth) AS (SELECT url, 0 FROM seeds UNION
 SELECT url, min(depth) AS depth, url IN (SELECT url FROM bodies) AS found FROM reach GROUP BY url"""
 
 
+_SITE_SEEDS = "SELECT min(url) AS url FROM bodies GROUP BY regexp_extract(url, '^[a-z]+://[^/]*', 0)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "tokenize_docs": f"WITH {_LEN} SELECT doc_id, tokens FROM lens",
@@ -526,7 +606,16 @@ rows AS (SELECT url, unnest(hs) AS href FROM raw),
 links AS (SELECT DISTINCT {_RESOLVED} AS link FROM rows)
 SELECT link AS url FROM links WHERE link <> '' AND link NOT IN (SELECT url FROM seeds) ORDER BY link LIMIT 1000""",
         "crawl_all": _crawl_sql("SELECT url FROM bodies"),
-        "crawl_sites": _crawl_sql("SELECT min(url) AS url FROM bodies GROUP BY regexp_extract(url, '^[a-z]+://[^/]*', 0)"),
+        "crawl_sites": _crawl_sql(_SITE_SEEDS),
+        "crawl_budget": _crawl_sql(_SITE_SEEDS) + f" ORDER BY depth, url LIMIT {BUDGET}",
+        "crawl_counters": f"""SELECT CASE WHEN found THEN 'documents' ELSE 'errors' END AS counter, count(*) AS n
+FROM ({_crawl_sql("SELECT url FROM bodies")}) GROUP BY found""",
+        "fetched_titles": f"SELECT page_id, {_TITLE} AS title FROM pages",
+        "snapshot_roundtrip": f"WITH {_DOCS} SELECT doc_id, url, title, content FROM docs",
+        "snapshot_and_stream": """WITH a AS (SELECT id, content, CAST(-1 AS BIGINT) AS seq FROM snapshot_documents
+  UNION ALL SELECT id, coalesce(content, ''), seq FROM snapshot_batches)
+SELECT id AS doc_id, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM a WHERE id IS NOT NULL) WHERE r = 1""",
+        "stream_poison": f"WITH {_DOCS} SELECT doc_id, CAST(length(content) AS BIGINT) AS size FROM docs WHERE content <> ''",
         "snapshot_export": f"WITH {_LEN} SELECT doc_id AS id, url, title, tokens, content FROM lens",
         "json_roundtrip": f"WITH {_DOCS} SELECT doc_id, url, content, '0001-01-01T00:00:00Z' AS fetched_at FROM docs",
         "stream_index": f"WITH {_POST} SELECT term, df FROM stats",

@@ -149,8 +149,8 @@ def decode_messages(value: Column) -> Column:
     )
 
 
-def encode_messages(docs: DataFrame) -> DataFrame:
-    """(key, value): each document as a JSON message, keyed by its id so that its updates keep their order."""
+def encode_messages(docs: DataFrame, *keep: str) -> DataFrame:
+    """(key, value): each document as a JSON message, keyed by its id so that its updates keep their order; other columns may be kept."""
     from ..schema import ZERO_TIME
 
     body = F.struct(
@@ -161,7 +161,7 @@ def encode_messages(docs: DataFrame) -> DataFrame:
         F.col("tokens").alias("Tokens"),
         F.coalesce("fetched_at", F.lit(ZERO_TIME)).alias("FetchedAt"),
     )
-    return docs.select(F.col("doc_id").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+    return docs.select(F.col("doc_id").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"), *keep)
 
 
 def topic_options(brokers: list[str], topic: str, group: str) -> dict[str, str]:

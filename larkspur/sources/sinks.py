@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ def write_snapshot(docs: DataFrame, path: str) -> None:
     """
     if "://" in path and not path.startswith("file://"):
         return _write_remote(docs, path)
-    path = path.removeprefix("file://")
+    path = re.sub(r"^file:/+", "/", path)
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     fd, part = tempfile.mkstemp(dir=folder, suffix=".part")
