@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from ..config import RankParams
 from ..functions.text import snippet, tokenize
 from ..schema import SEARCH_RESULT
 from .index import LexicalIndex
-from .rank import BROADCAST_TERMS, DIGITS, bm25, bm25_many, query_tokens, ranked, top_per_query
-from .semantic import SemanticIndex, embed_query, nearest_many
+from .rank import DIGITS, bm25, bm25_top, query_tokens, ranked, top_per_query
+from .semantic import QUERY_BLOCK, SemanticIndex, embed_query, nearest_many
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, params: RankParams, *keys: str) -> DataFrame:
@@ -57,19 +59,27 @@ class SearchService:
     def search_many(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score) of the k best documents of each query of (query_id STRING, text).
 
-        The semantic side is exact.  Queries are taken to the driver in whole: they are the workload,
-        not the collection.
+        The semantic side is exact.  Queries pass through the driver in blocks of `QUERY_BLOCK`; a block
+        needs two passes over the collection, of which each task sends its best rows only.
         """
-        asked = [(r["query_id"], r["text"]) for r in queries.select("query_id", "text").collect()]
-        asked = [(q, t) for q, t in asked if query_tokens(t)]
-        n_terms = sum(len(set(query_tokens(t))) for _, t in asked)
-        lexical = bm25_many(self.index, queries, self.params, n_terms if n_terms <= BROADCAST_TERMS else None)
+        rows = ((r["query_id"], r["text"]) for r in queries.select("query_id", "text").toLocalIterator())
+        found = [self._search_block(list(block), k) for block in batched(((q, t) for q, t in rows if query_tokens(t)), QUERY_BLOCK)]
+        if not found:
+            return self.index.docs.sparkSession.createDataFrame([], "query_id string, rank int, doc_id string, score double")
+        return functools.reduce(DataFrame.unionByName, found)
+
+    def _search_block(self, block: list[tuple[str, str]], k: int) -> DataFrame:
         if self.semantic is None:
-            return top_per_query(lexical, k).select("query_id", "rank", "doc_id", "score")
+            return top_per_query(bm25_top(self.index, block, k, None, self.params), k).select("query_id", "rank", "doc_id", "score")
         dim = self.semantic.params.dimension
         floor = max(k, self.params.semantic_floor)
-        near = nearest_many(self.semantic.vectors, [(q, embed_query(t, dim)) for q, t in asked], floor)
-        near = top_per_query(near, floor).select("query_id", "doc_id", "score")
+        near = nearest_many(self.semantic.vectors, [(q, embed_query(t, dim)) for q, t in block], floor)
+        best = [tuple(r) for r in top_per_query(near, floor).select("query_id", "doc_id", "score").collect()]  # floor rows a query
+        also: dict[str, set[str]] = {}
+        for q, d, _ in best:
+            also.setdefault(d, set()).add(q)
+        lexical = bm25_top(self.index, block, k, also, self.params)
+        near = self.index.docs.sparkSession.createDataFrame(best, "query_id string, doc_id string, score double")
         fused = fuse(lexical, near, self.params, "query_id", "doc_id")
         return top_per_query(fused, k).select("query_id", "rank", "doc_id", "score")
 
