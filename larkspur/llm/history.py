@@ -38,6 +38,7 @@ without a sequence or batch number are left out; extra columns are ignored; empt
 from __future__ import annotations
 
 import functools
+import gc
 import operator
 import uuid
 from collections.abc import Iterator
@@ -251,6 +252,9 @@ class HistoryIndex:
         for store in ("postings", "forms"):
             if hasattr(self, store):
                 getattr(self, store).forget()
+        if self._sketch is not None:
+            self._sketch.destroy()
+            self._sketch = None
         _delete(self.spark, self.folder)
 
     # -- batches ----------------------------------------------------------------------------
@@ -294,7 +298,7 @@ class HistoryIndex:
         blocks = -(-own.count() // BLOCK)
         earlier = self.postings.before(batch, parts)
         forms = self.forms.before(batch, list(range(self.forms.ranges)))
-        theirs = own.select(F.col("id").alias("a"), "n", "bits", F.lit(batch).alias("batch"))
+        theirs = own.select(F.col("id").alias("a"), "n", "bits", F.lit(0).alias("batch"))
         found = []
         for block in range(blocks):
             one_block = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
@@ -358,6 +362,15 @@ def _without(edges: DataFrame, cases: DataFrame) -> DataFrame:
     return edges.select("a", "b")
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files, broadcasts and checkpoints of a batch that is done.
+
+    It acts on what the driver's garbage collection finds, which a mostly idle driver would put off.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -376,6 +389,9 @@ def rows_without_new_content(
     index = HistoryIndex(history.sparkSession, None, threshold, width)
     index.create(history, text)
     numbers = sorted(r[0] for r in batches.select(number).distinct().where(F.col(number).isNotNull()).collect())
-    found = [cut(index.add_batch(batches.where(F.col(number) == n), i, seq, text)) for i, n in enumerate(numbers, 1)]
+    found = []
+    for i, n in enumerate(numbers, 1):
+        found.append(cut(index.add_batch(batches.where(F.col(number) == n), i, seq, text)))
+        _release(index.spark)
     index.drop()
     return functools.reduce(DataFrame.unionByName, found) if found else batches.select(seq).where("false")
