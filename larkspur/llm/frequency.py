@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Tokens for an identifier range, and least number of ranges.
-RANGE_TOKENS, LEAST_RANGES = 1 << 21, 16
+RANGE_TOKENS, LEAST_RANGES = 1 << 20, 16
 _BLOCK = 1 << 20
 _BUFFER = 1 << 20
 _PIECE = 1 << 14
