@@ -29,7 +29,7 @@ from . import kernels as K
 
 #: Tokens for an identifier range, and least number of ranges.
 RANGE_TOKENS, LEAST_RANGES = 1 << 20, 16
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _BUFFER = 1 << 20
 _PIECE = 1 << 14
 
