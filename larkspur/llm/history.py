@@ -23,10 +23,12 @@ follow the history's size, one for about two tokens, up to `MOST_CELLS`; a count
 
 Within a batch a row can repeat an earlier row.  Pairs within the batch are found by the same join of
 its prefixes with themselves.  Decisions are taken in rounds: rows without an undecided earlier partner
-are accepted, their partners are cases.
+are accepted, their partners are cases.  So successive batches that are there already, `BLOCK` rows at
+most, are taken as one where their order by sequence is that by number: one pass over the history for all
+of them, with the same rows found.
 
 Broadcasts: the sketch (a byte a cell, `MOST_CELLS` at most), and the parity bits of a batch, which is
-taken in blocks of `BLOCK` texts (9 MB) for that, and the keys of texts to verify in blocks of `KEYS`
+taken in blocks of `BLOCK` texts (about 25 MB) for that, and the keys of texts to verify in blocks of `KEYS`
 (8 MB), so that only those texts are shuffled.  The driver gets the numbers of ranges and of text
 parts, never keys.
 
@@ -57,8 +59,8 @@ PARITY = 1024
 #: Bytes of text for a cell of the sketch (a token takes about seven), and bounds of its cells.
 CELL_BYTES, LEAST_CELLS, MOST_CELLS = 16, 1 << 16, 1 << 25
 #: Bytes of text for a range of tokens, and bounds of the ranges.
-RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 8_000_000, 8, 16384
-BLOCK = 1 << 16
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 32_000_000, 12, 16384
+BLOCK = 1 << 17
 #: Keys of texts to verify that are broadcast at once.
 KEYS = 1 << 20
 _SKETCH_PARTS = 64
@@ -259,8 +261,8 @@ class HistoryIndex:
 
     # -- batches ----------------------------------------------------------------------------
 
-    def add_batch(self, rows: DataFrame, batch: int, seq: str = "seq", text: str = "content") -> DataFrame:
-        """Check a batch (number 1, 2, ...) against all that is accepted, and append what it brings.
+    def add_batch(self, rows: DataFrame, batch: int, seq: str = "seq", text: str = "content", append: bool = True) -> DataFrame:
+        """Check a batch (number 1, 2, ...) against all that is accepted, and append what it brings, unless told not to.
 
         Returns (seq), the rows that bring no new content.
         """
@@ -272,7 +274,12 @@ class HistoryIndex:
         cases = self._settle(self._verify(self._probe(own, batch), own, batch))
         repeats = src.join(own.select(F.col("s").alias("first"), "t"), "t").where("s > first").select("s")
         found = own.join(cases, "id", "left_semi").select("s").unionByName(repeats)
-        fresh = own.join(cases, "id", "left_anti")  # read three times, each time a small anti-join
+        if append:
+            self._append(own.join(cases, "id", "left_anti"), batch)
+        return found.select(F.col("s").cast(kind).alias(seq))
+
+    def _append(self, fresh: DataFrame, batch: int) -> None:
+        """Store accepted texts; `fresh` is read three times, each time a small anti-join."""
         with ThreadPoolExecutor(3) as pool:
             done = [
                 pool.submit(self._put_texts, fresh.select("id", "t"), batch),
@@ -281,7 +288,6 @@ class HistoryIndex:
             ]
         for d in done:
             d.result()
-        return found.select(F.col("s").cast(kind).alias(seq))
 
     def _can_reach(self, one: tuple[Column, Column], two: tuple[Column, Column]) -> Column:
         """Whether a match at these (size, place) can be the first shared token of a pair that reaches the threshold."""
@@ -376,6 +382,19 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _groups(batches: DataFrame, number: str, seq: str) -> list[tuple]:
+    """(first, last number) of successive batches that are taken as one: `BLOCK` rows at most, and their order by sequence is that by number."""
+    s = F.col(seq).cast("long")
+    spans = batches.where(F.col(number).isNotNull()).groupBy(number).agg(F.count(s), F.min(s), F.max(s)).collect()
+    groups: list[list] = []
+    for n, rows, low, high in sorted(x for x in spans if x[1]):
+        if groups and groups[-1][2] + rows <= BLOCK and groups[-1][3] < low:
+            groups[-1] = [groups[-1][0], n, groups[-1][2] + rows, high]
+        else:
+            groups.append([n, n, rows, high])
+    return [(first, last) for first, last, _, _ in groups]
+
+
 def rows_without_new_content(
     history: DataFrame,
     batches: DataFrame,
@@ -388,10 +407,10 @@ def rows_without_new_content(
     """(seq) of the rows of all batches, taken in order of their numbers, that bring no new content."""
     index = HistoryIndex(history.sparkSession, None, threshold, width)
     index.create(history, text)
-    numbers = sorted(r[0] for r in batches.select(number).distinct().where(F.col(number).isNotNull()).collect())
-    found = []
-    for i, n in enumerate(numbers, 1):
-        found.append(cut(index.add_batch(batches.where(F.col(number) == n), i, seq, text)))
+    found, groups = [], _groups(batches, number, seq)
+    for i, (first, last) in enumerate(groups, 1):
+        rows = batches.where(F.col(number).between(first, last))
+        found.append(cut(index.add_batch(rows, i, seq, text, append=i < len(groups))))  # the index is dropped after the last
         _release(index.spark)
     index.drop()
     return functools.reduce(DataFrame.unionByName, found) if found else batches.select(seq).where("false")

@@ -359,6 +359,28 @@ def test_history(spark):
     index.drop()
 
 
+def test_history_takes_successive_batches_together(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [prose(rng, 60, 5000) for _ in range(4)]
+    texts = [edited(rng, base[i % 4], 2) if i % 3 else prose(rng, 60, 5000) for i in range(18)]
+    texts += [texts[0], texts[3]]
+    calls = []
+    add = HistoryIndex.add_batch
+    monkeypatch.setattr(HistoryIndex, "add_batch", lambda self, rows, batch, *a, **k: calls.append(batch) or add(self, rows, batch, *a, **k))
+
+    def found(numbers):
+        calls.clear()
+        rows = [(n, seq, t) for seq, (n, t) in enumerate(zip(numbers, texts), 1)]
+        b = table(spark, rows, "batch_no int, seq long, content string")
+        assert everything(rows_without_new_content(table(spark, [(base[0],)], "content string"), b, threshold=0.5, width=3)) == brute_cases([base[0]], rows, 0.5, 3)
+        return len(calls)
+
+    assert found([1 + i // 5 for i in range(20)]) == 1  # one pass over the history for four batches
+    assert found([2 - i // 10 for i in range(20)]) == 2  # the later batch has the smaller sequences
+    monkeypatch.setattr("larkspur.llm.history.BLOCK", 10)
+    assert found([1 + i // 5 for i in range(20)]) == 2  # no more rows than a block
+
+
 # --- problem 6 -----------------------------------------------------------------------------------
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="needs the vocabulary file")
