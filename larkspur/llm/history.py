@@ -306,21 +306,21 @@ class HistoryIndex:
         forms = self.forms.before(batch, list(range(self.forms.ranges)))
         theirs = own.select(F.col("id").alias("a"), "n", "bits", F.lit(0).alias("batch"))
         found = []
+        shuffled = lambda postings: postings.dropna().repartition(self.postings.ranges, "token")  # noqa: E731 - the same plan for every join, so that it runs once
         for block in range(blocks):
-            one_block = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-            probes = self._postings(one_block).select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))
+            one_block = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else own
+            probes = shuffled(self._postings(one_block)).select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))
             match = self._can_reach((F.col("n"), F.col("pos")), (F.col("m"), F.col("at")))
             old = earlier.join(probes.hint("shuffle_hash"), "token").where(match).select("a", "b")
-            new = mine.join(probes, "token").where(match & (F.col("a") < F.col("b"))).select("a", "b")
+            new = shuffled(mine).join(probes.hint("shuffle_hash"), "token").where(match & (F.col("a") < F.col("b"))).select("a", "b")
             sent = F.broadcast(one_block.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("own")))  # BLOCK rows at most
             differ = functools.reduce(operator.add, (F.bit_count(F.col("bits")[w].bitwiseXOR(F.col("own")[w])) for w in range(PARITY // 64)))
             most = F.col("n") + F.col("m")
             alike = most - differ >= 2 * F.ceil(F.lit(t / (1 + t)) * most - F.lit(1e-9))
             for pairs, held, is_old in ((old, forms, True), (new, theirs, False)):
-                pairs = pairs.repartition(self.forms.ranges, "a").distinct()
-                kept = held.join(pairs.hint("shuffle_hash"), "a").join(sent, "b").where(alike)
+                met = pairs.repartition(self.forms.ranges, "a").join(held.hint("shuffle_hash"), "a").join(sent, "b")
                 part = self._part_of("a", F.col("batch"))
-                found.append(kept.select("a", "b", F.lit(is_old).alias("old"), part.alias("part")))
+                found.append(met.where(alike).select("a", "b", F.lit(is_old).alias("old"), part.alias("part")).distinct())
         shape = "a long, b long, old boolean, part int"
         return cut(functools.reduce(DataFrame.unionByName, found)) if found else self.spark.createDataFrame([], shape)
 
@@ -369,7 +369,7 @@ def _without(edges: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files, broadcasts and checkpoints of a batch that is done.
+    """Let Spark's cleaner delete the shuffle files, broadcasts and checkpoints of a step that is done.
 
     It acts on what the driver's garbage collection finds, which a mostly idle driver would put off.
     """
@@ -407,6 +407,7 @@ def rows_without_new_content(
     """(seq) of the rows of all batches, taken in order of their numbers, that bring no new content."""
     index = HistoryIndex(history.sparkSession, None, threshold, width)
     index.create(history, text)
+    _release(index.spark)
     found, groups = [], _groups(batches, number, seq)
     for i, (first, last) in enumerate(groups, 1):
         rows = batches.where(F.col(number).between(first, last))

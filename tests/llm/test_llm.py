@@ -20,7 +20,7 @@ from larkspur.llm import main_body as B
 from larkspur.llm import near_duplicates as N
 from larkspur.llm import visual_form as V
 from larkspur.llm.frequency import count_terms, mark_terms
-from larkspur.llm.history import HistoryIndex, rows_without_new_content
+from larkspur.llm.history import HistoryIndex, cut, rows_without_new_content
 from larkspur.llm.main_body import main_body, not_main_body
 from larkspur.llm.packing import pack
 from larkspur.llm.repeated_lines import repeated_lines, site_of, without_repeated_lines
@@ -381,6 +381,28 @@ def test_history_takes_successive_batches_together(spark, monkeypatch):
     assert found([1 + i // 5 for i in range(20)]) == 2  # no more rows than a block
 
 
+def test_history_shuffles_the_tokens_of_a_batch_once(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [prose(rng, 60, 5000) for _ in range(8)]
+    plans = []
+
+    def recorded(df):
+        done = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return done
+
+    monkeypatch.setattr("larkspur.llm.history.cut", recorded)
+    index = HistoryIndex(spark, threshold=0.5, width=3)
+    index.create(table(spark, [(t,) for t in texts[:4]], "content string"))
+    rows = [(i, t) for i, t in enumerate([edited(rng, texts[0], 1), texts[5], edited(rng, texts[5], 1), texts[6]], 1)]
+    assert everything(index.add_batch(table(spark, rows, "seq long, content string"), 1)) == [(1,), (3,)]
+    probe = [p for p in plans if index.postings.table in p]
+    assert len(probe) == 1
+    made = [x for x in probe[0].splitlines() if "Exchange hashpartitioning(token" in x and "ReusedExchange" not in x]
+    assert len(made) == 1
+    index.drop()
+
+
 # --- problem 6 -----------------------------------------------------------------------------------
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="needs the vocabulary file")
